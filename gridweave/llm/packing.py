@@ -21,6 +21,7 @@ import zlib
 from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -49,7 +50,7 @@ class Encoder:
         with open(ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
             table_ = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bpe = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table_, special_tokens={})
-        self.exact, self.known = None, {}
+        self.exact, self.new, self.old = None, {}, {}
 
     def __call__(self, text: str) -> array:
         ids = array("I")
@@ -60,17 +61,32 @@ class Encoder:
                 self.exact = Tokenizer.from_file(self.json)
             ids.extend(self.exact.encode(text, add_special_tokens=False).ids)
             return ids
-        known, extend = self.known, ids.extend
-        for piece in FAST.findall(text):
-            got = known.get(piece)
+        if "  " in text:
+            self.pieces(text, ids)
+            return ids
+        # before a space that a non-space follows, a piece always begins
+        out: list[int] = []
+        head, *chunks = text.split(" ")
+        if head:
+            self.pieces(head, out)
+        if len(self.new) >= CACHE:  # what was not asked for since the last change goes
+            self.old, self.new = self.new, {}
+        known = self.new
+        for chunk in set(chunks).difference(known):
+            got = self.old.get(chunk)
             if got is None:
-                got = array("I", self.bpe._encode_single_piece(piece))
-                if len(known) >= CACHE:
-                    known.clear()
-                known[piece] = got
-            extend(got)
+                got = []
+                self.pieces(" " + chunk, got)
+            known[chunk] = got
+        out.extend(chain.from_iterable(map(known.__getitem__, chunks)))
+        ids.extend(out)
         return ids
 
+    def pieces(self, text: str, ids) -> None:
+        encode = self.bpe._core_bpe.encode_single_piece
+        for piece in FAST.findall(text):
+            ids.extend(encode(piece.encode()))
+
 
 class Packer:
     """Best-fit over a fixed number of open windows."""

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, simhash
+from . import langid, media, mixing, packing, quality, simhash, toxicity
 
 QUERIES = {
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_simhash": simhash.op3_simhash,
     "op5_packing": packing.op5_packing,
     "op6_mixing": mixing.op6_mixing,
+    "op7_media": media.op7_media,
+    "op9_language": langid.op9_language,
+    "op10_quality": quality.op10_quality,
 }
 ORACLES = {"op6_mixing": mixing.SQL}
