@@ -1,4 +1,4 @@
-"""Language-model scores: a log-bilinear neural model over words, with counted words and spelling for the rest.
+"""Language-model scores: a log-bilinear neural model over words, with counted words for the rest.
 
 Vocabulary: the CLASSES - 2 most frequent training tokens, the end token, and one class for all other words. The log-bilinear
 model predicts the next class from the last CONTEXT classes: their vectors times one diagonal matrix for each place, summed,
@@ -7,20 +7,19 @@ estimation (noise: the class frequencies): a warm start on a bounded sample of d
 training documents, each partition for itself; the partitions' parameters are averaged by their number of tokens. Scoring takes
 the softmax over all classes by batched matrix products, so probabilities are normalised.
 
-A word outside the vocabulary costs its class and then log10 of (1 - UNSEEN) c / C + UNSEEN s(w): c is the word's count among
-such words' C training occurrences, s(w) its spelling probability under an interpolated byte model that is counted over all
-distinct training words.
+A word outside the vocabulary costs its class and then its share of that class by absolute discounting: (c - d) / C for a
+word with c > 0 of the class's C training occurrences; all words never seen in training are one type, as in the base score, with the mass taken off.
 
 Counts of words are joined by a 64-bit XXH64 of the word (two of a billion words share one with a chance of 3 %).
 
-Defined cases: a null or empty text is the end token alone; a null id is scored and learned from like id "null" would be, out of
-the held-out fold; repeated rows repeat; without any training document the base is log10(1 / 1) a token and the model is uniform over its classes;
+Defined cases: a null or empty text is the end token alone; a null id is scored and, being out of the held-out fold, learned from; repeated rows repeat; without any training document the base is log10(1 / 1) a token and the model is uniform over its classes;
 other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,9 +31,8 @@ from pyspark.sql import functions as F
 from .common import chance, cut, held_out, table
 
 MOD, REMAINDER = 7, 2
-CLASSES, DIM, CONTEXT, NOISE, RATE, BATCH, WARM_DOCS, GROUPS, UNSEEN = 1024, 32, 3, 8, 0.05, 512, 1500, 16, 0.5
+CLASSES, DIM, CONTEXT, NOISE, RATE, BATCH, WARM_DOCS, GROUPS = 1024, 32, 6, 64, 0.1, 512, 1000, 16
 END, OTHER = 0, 1
-CTX_BITS = 14
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -53,8 +51,6 @@ def word_hash(w: bytes) -> int:
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from collections import Counter
-
     seen: Counter = Counter()
 
     def out() -> Iterator[pa.RecordBatch]:
@@ -77,60 +73,6 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(_word_counts, "w binary, n long").groupBy("w").agg(F.sum("n").alias("c"))
 
 
-# --- spelling -----------------------------------------------------------------------------------------------------
-
-
-def _context(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """A bucket for the three bytes before."""
-    return (((a.astype(np.uint32) << 16 | b.astype(np.uint32) << 8 | c) * np.uint32(0x9E3779B1)) >> np.uint32(32 - CTX_BITS)).astype(np.int64)
-
-
-def _bytes_of(ws: list[bytes]) -> np.ndarray:
-    """All words, each followed by one blank (no word holds one), after three blanks."""
-    return np.frombuffer(b"   " + b" ".join(ws) + b" ", np.uint8)
-
-
-def _spelling_cells(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte from the fourth on: its cell in the context table and in the pair table. Bytes before a word's start read as blanks."""
-    blank = x == 32
-    c, b, a = x[2:-1], x[1:-2].copy(), x[:-3].copy()
-    b[blank[2:-1]] = 32
-    a[blank[2:-1] | blank[1:-2]] = 32
-    y = x[3:].astype(np.int64)
-    return _context(a, b, c) * 256 + y, c.astype(np.int64) * 256 + y
-
-
-def _spelling_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros((1 << CTX_BITS) * 256, np.int32)
-    for b in batches:
-        ws = b.column(0).to_pylist()
-        if ws:
-            total += np.bincount(_spelling_cells(_bytes_of(ws))[0], minlength=total.size).astype(np.int32)
-    cells = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(total[cells].astype(np.int64))], ["cell", "n"])
-
-
-def spelling_model(counts: DataFrame) -> np.ndarray:
-    """log10 probability of the next byte (a blank ends the word) after a bucket of three; counted over distinct words. At most 2**CTX_BITS * 256 cells reach the driver."""
-    rows = counts.select("w").mapInArrow(_spelling_counts, "cell int, n long").groupBy("cell").agg(F.sum("n").cast("float").alias("n")).toArrow()
-    tri = np.zeros((1 << CTX_BITS) * 256, np.float32)
-    tri[rows["cell"].to_numpy()] = rows["n"].to_numpy()
-    tri = tri.reshape(-1, 256)
-    uni = (tri.sum(0) + 1) / (tri.sum() + 256)
-    tri += 20 * uni
-    tri /= tri.sum(1, keepdims=True)
-    return np.log10(tri)
-
-
-def spelled(ws: list[bytes], model: np.ndarray) -> np.ndarray:
-    """log10 spelling probability of each word."""
-    if not ws:
-        return np.zeros(0)
-    x = _bytes_of(ws)
-    logs = model.reshape(-1)[_spelling_cells(x)[0]]
-    return np.add.reduceat(logs.astype(np.float64), np.r_[0, np.flatnonzero(x[3:-1] == 32) + 1])
-
-
 # --- the log-bilinear model ---------------------------------------------------------------------------------------
 
 
@@ -160,32 +102,43 @@ def start(freq: np.ndarray, seed: int = 5) -> dict[str, np.ndarray]:
     return {"R": rng.normal(0, 0.1, (n, DIM)).astype(np.float32), "Q": rng.normal(0, 0.1, (n, DIM)).astype(np.float32), "C": np.full((CONTEXT, DIM), 1.0 / CONTEXT, np.float32), "b": np.log(freq).astype(np.float32)}
 
 
-def nce(model: dict, x: np.ndarray, t: np.ndarray, noise: np.ndarray, rng, rate: float = RATE) -> None:
-    """One pass over the places t of x, in place. noise: class frequencies."""
-    cum, logq = np.cumsum(noise), np.log(noise * NOISE).astype(np.float32)
+def _scattered(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows that go to each of n places."""
+    order = np.argsort(at, kind="stable")
+    to = at[order]
+    first = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
+    out = np.zeros((n, rows.shape[1]), np.float32)
+    out[to[first]] = np.add.reduceat(rows[order], first, axis=0)
+    return out
+
+
+def nce(model: dict, x: np.ndarray, t: np.ndarray, noise: np.ndarray, rng, past: dict | None = None) -> dict:
+    """One pass over the places t of x, in place, by AdaGrad; the biases stay. noise: class frequencies; the NOISE classes drawn
+    for a batch serve all its tokens. past: squared gradients so far, which are returned."""
+    cum, logq, n = np.cumsum(noise), np.log(noise * NOISE).astype(np.float32), len(noise)
+    past = past or {k: np.full_like(model[k], 1e-3) for k in ("R", "Q", "C")}
     for i in range(0, len(t), BATCH):
         at = t[i : i + BATCH]
-        h = np.stack([x[at - 1 - k] for k in range(CONTEXT)])  # (CONTEXT, n)
-        r = model["R"][h]  # (CONTEXT, n, DIM)
+        h = np.stack([x[at - 1 - k] for k in range(CONTEXT)])  # (CONTEXT, batch)
+        r = model["R"][h]
         pred = np.einsum("knd,kd->nd", r, model["C"])
-        drawn = np.minimum(np.searchsorted(cum, rng.random(NOISE)), len(noise) - 1)  # shared by the batch
+        drawn = np.minimum(np.searchsorted(cum, rng.random(NOISE)), n - 1)
         w = x[at]
-        sw = np.einsum("nd,nd->n", pred, model["Q"][w]) + model["b"][w] - logq[w]
-        sn = pred @ model["Q"][drawn].T + model["b"][drawn] - logq[drawn]
-        gw = 1 / (1 + np.exp(np.clip(sw, -30, 30)))  # 1 - p(data)
+        qw, qn = model["Q"][w], model["Q"][drawn]
+        sw = np.einsum("nd,nd->n", pred, qw) + model["b"][w] - logq[w]
+        sn = pred @ qn.T + model["b"][drawn] - logq[drawn]
+        gw = 1 / (1 + np.exp(np.clip(sw, -30, 30)))  # 1 - P(data)
         gn = -1 / (1 + np.exp(-np.clip(sn, -30, 30)))
-        dpred = gw[:, None] * model["Q"][w] + gn @ model["Q"][drawn]
-        dq = np.zeros_like(model["Q"])
-        np.add.at(dq, w, gw[:, None] * pred)
-        np.add.at(dq, drawn, gn.T @ pred)
-        db = np.bincount(w, gw, len(noise)) + np.bincount(drawn, gn.sum(0), len(noise))
-        dc = np.einsum("knd,nd->kd", r, dpred)
-        dr = np.zeros_like(model["R"])
-        for k in range(CONTEXT):
-            np.add.at(dr, h[k], dpred * model["C"][k])
-        step = rate / np.sqrt(len(at))
-        for name, g in (("Q", dq), ("R", dr), ("C", dc / np.sqrt(len(at))), ("b", db)):
-            model[name] += (step * np.clip(g, -5, 5)).astype(np.float32)
+        dpred = gw[:, None] * qw + gn @ qn
+        grads = {
+            "Q": _scattered(np.r_[w, drawn], np.concatenate([gw[:, None] * pred, gn.T @ pred]), n),
+            "R": _scattered(h.reshape(-1), (dpred[None] * model["C"][:, None]).reshape(-1, DIM), n),
+            "C": np.einsum("knd,nd->kd", r, dpred),
+        }
+        for k, g in grads.items():
+            past[k] += g * g
+            model[k] += (RATE * (0.3 if k == "C" else 1.0)) * g / np.sqrt(past[k])
+    return past
 
 
 def log10_probabilities(model: dict, x: np.ndarray, t: np.ndarray, block: int = 4096) -> np.ndarray:
@@ -231,15 +184,15 @@ def _local(held):
     """Each partition's own pass; its parameters, weighed by tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, freq, first = held.value
-        model = {k: v.copy() for k, v in first.items()}
+        ids, freq, first, past = held.value
+        model, past = {k: v.copy() for k, v in first.items()}, {k: v.copy() for k, v in past.items()}
         pid, n = TaskContext.get().partitionId(), 0
         rng = np.random.default_rng(pid)
         for b in batches:
             for i in range(0, b.num_rows, 200):
                 x, t = _batch(b.column(0).slice(i, 200).to_pylist(), ids)
                 n += len(t)
-                nce(model, x, rng.permutation(t), freq, rng)
+                nce(model, x, rng.permutation(t), freq, rng, past)
         raw = np.frombuffer(_pack(model), np.float32).astype(np.float64) * n
         yield pa.RecordBatch.from_arrays([pa.array([pid % GROUPS], pa.int32()), pa.array([n], pa.int64()), pa.array([raw.tobytes()], pa.binary())], ["g", "n", "raw"])
 
@@ -257,11 +210,9 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([n], pa.int64()), pa.array([raw.tobytes()], pa.binary())], ["g", "n", "raw"])
 
 
-def train(docs: DataFrame, counts: DataFrame, tokens: int) -> tuple[dict[bytes, int], dict]:
-    """(classes by word, parameters) from the training documents and their word counts. tokens: N, the ends included."""
+def train(docs: DataFrame, top: list, n_docs: int, tokens: int) -> tuple[dict[bytes, int], dict]:
+    """(classes by word, parameters) from the training documents. top: rows (w, c) of the vocabulary; tokens: N, the ends included."""
     spark = docs.sparkSession
-    n_docs = docs.count()
-    top = counts.orderBy(F.desc("c"), "w").limit(CLASSES - 2).collect()
     ids = {bytes(r["w"]): i + 2 for i, r in enumerate(top)}
     freq = np.ones(len(ids) + 2)
     freq[END] += n_docs
@@ -275,9 +226,8 @@ def train(docs: DataFrame, counts: DataFrame, tokens: int) -> tuple[dict[bytes,
     warm = sorted((r["text"] or "") for r in docs.where(chance(F.xxhash64(F.coalesce("text", F.lit(""))), 11) < min(1.0, WARM_DOCS / n_docs)).select("text").limit(2 * WARM_DOCS).collect())
     rng = np.random.default_rng(1)
     x, t = _batch(warm, ids)
-    if len(t):
-        nce(model, x, rng.permutation(t), freq, rng)
-    held = spark.sparkContext.broadcast((ids, freq, model))
+    past = nce(model, x, rng.permutation(t), freq, rng)
+    held = spark.sparkContext.broadcast((ids, freq, model, past))
     kind = "g int, n long, raw binary"
     sums = docs.select("text").mapInArrow(_local(held), kind).repartition(GROUPS, "g").mapInArrow(_summed, kind).collect()
     n = sum(r["n"] for r in sums)
@@ -288,36 +238,28 @@ def train(docs: DataFrame, counts: DataFrame, tokens: int) -> tuple[dict[bytes,
 
 
 def _scored(held):
-    """For each document: its class score, and its distinct words with their numbers of occurrences."""
-    names = ["rid", "doc_id", "held_out", "n_tokens", "lbl", "h", "tf", "rare"]
-    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.bool_())]
+    """For each document: its class score, the base score and number of its vocabulary tokens, and its other distinct words' hashes and occurrences."""
+    names = ["rid", "doc_id", "held_out", "n_tokens", "lbl", "base", "known", "h", "tf"]
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, model = held.value
+        ids, model, base = held.value  # base: of each vocabulary word and the end
         rid = TaskContext.get().partitionId() << 40
-        known: dict[bytes, int] = {}
         for b in batches:
             for i in range(0, b.num_rows, 100):
                 part = b.slice(i, 100)
                 texts = part.column(2).to_pylist()
                 x, t = _batch(texts, ids)
                 logs = log10_probabilities(model, x, t)
+                own = x[t]
                 rows, at = [], 0
                 for doc_id, held_, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts):
-                    tf: dict[bytes, int] = {}
-                    n = 1
-                    for w in words(text):
-                        tf[w] = tf.get(w, 0) + 1
-                        n += 1
-                    hs = []
-                    for w in tf:
-                        h = known.get(w)
-                        if h is None:
-                            if len(known) > 300_000:
-                                known.clear()
-                            h = known[w] = word_hash(w)
-                        hs.append(h)
-                    rows.append((rid, doc_id, held_, n, float(logs[at : at + n].sum()), hs, list(tf.values()), [w not in ids for w in tf]))
+                    ws = words(text)
+                    n = len(ws) + 1
+                    rare = Counter(w for w in ws if w not in ids)
+                    k = own[at : at + n]
+                    k = k[k != OTHER]
+                    rows.append((rid, doc_id, held_, n, float(logs[at : at + n].sum()), float(base[k].sum()), len(k) - (base[END] == base[OTHER]), [word_hash(w) for w in rare], list(rare.values())))
                     rid += 1
                     at += n
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
@@ -325,47 +267,36 @@ def _scored(held):
     return run
 
 
-def _spelled(held):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ws = b.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array([word_hash(w) for w in ws], pa.int64()), b.column(1), pa.array(spelled(ws, held.value))], ["h", "c", "s"])
-
-    return run
-
-
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs (doc_id, text)."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out("doc_id", MOD, REMAINDER).alias("held_out"), "text")
     learn = rows.where("not held_out")
-    # one count over all documents: c in training documents, 0 for words seen only in the others
-    all_counts = cut(
-        learn.select("text").mapInArrow(_word_counts, "w binary, n long")
-        .unionByName(rows.where("held_out").select("text").mapInArrow(_word_counts, "w binary, n long").select("w", F.lit(0).cast("long").alias("n")))
-        .groupBy("w").agg(F.sum("n").alias("c"))
-    )
-    counts = all_counts.where("c > 0")
+    counts = cut(word_counts(learn))
     n_docs = learn.count()
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = total["n"] + n_docs, total["v"] + (n_docs > 0)
-    ids, model = train(learn, counts, n)
-    top = sum(r["c"] for r in counts.orderBy(F.desc("c"), "w").limit(CLASSES - 2).collect())
-    rest = float(max(1, total["n"] - top))
-    held = spark.sparkContext.broadcast(spelling_model(counts))
-    base = float(np.log10(n + v + 1))
-    table_ = all_counts.mapInArrow(_spelled(held), "h long, c long, s double").select(
-        "h", "c", (F.log10(F.col("c") + 1.0) - base).alias("base"), F.log10((1 - UNSEEN) * F.col("c") / rest + UNSEEN * F.pow(F.lit(10.0), F.greatest("s", F.lit(-300.0)))).alias("word")
-    )
-    scored = cut(rows.mapInArrow(_scored(spark.sparkContext.broadcast((ids, model))), "rid long, doc_id long, held_out boolean, n_tokens long, lbl double, h array<long>, tf array<int>, rare array<boolean>"))
-    each = scored.select("rid", F.explode(F.arrays_zip("h", "tf", "rare")).alias("x")).select("rid", "x.h", "x.tf", "x.rare")
-    sums = each.join(table_, "h").groupBy("rid").agg(
-        F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("known"), F.sum(F.col("tf") * F.col("base")).alias("base"), F.sum(F.when(F.col("rare"), F.col("tf") * F.col("word")).otherwise(0.0)).alias("word")
+    top = counts.orderBy(F.desc("c"), "w").limit(CLASSES - 2).collect()
+    ids, model = train(learn, top, n_docs, n)
+    lowest = (top[-1]["c"], bytes(top[-1]["w"])) if top else (0, b"")
+    other = counts.where((F.col("c") < lowest[0]) | ((F.col("c") == lowest[0]) & (F.col("w") > F.lit(bytearray(lowest[1]))))) if top else counts
+    r = other.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2")).first()
+    d = min(0.95, max(0.1, r["n1"] / max(1, r["n1"] + 2 * r["n2"])))
+    unseen = d * r["v"] / r["n"] if r["n"] else 1.0
+    norm = float(np.log10(n + v + 1))
+    base = np.full(len(ids) + 2, -norm)
+    base[END] = np.log10(n_docs + 1) - norm
+    for x in top:
+        base[ids[bytes(x["w"])]] = np.log10(x["c"] + 1) - norm
+    scored = cut(rows.mapInArrow(_scored(spark.sparkContext.broadcast((ids, model, base))), "rid long, doc_id long, held_out boolean, n_tokens long, lbl double, base double, known long, h array<long>, tf array<int>"))
+    each = scored.select("rid", F.explode(F.arrays_zip("h", "tf")).alias("x")).select("rid", "x.h", "x.tf")
+    c, tf = F.coalesce("c", F.lit(0)), F.col("tf")
+    sums = each.join(other.select(F.xxhash64("w").alias("h"), "c"), "h", "left").groupBy("rid").agg(
+        F.sum(F.when(c > 0, tf).otherwise(0)).alias("more"), F.sum(tf * (F.log10(c + 1.0) - norm)).alias("b"), F.sum(tf * F.log10(F.when(c > 0, (c - d) / float(max(1, r["n"]))).otherwise(unseen))).alias("word")
     )
-    end = float(np.log10(n_docs + 1)) - base
-    return scored.drop("h", "tf", "rare").join(sums, "rid", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.coalesce("known", F.lit(0)) + int(n_docs > 0)).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.coalesce("base", F.lit(0.0)) + end).alias("base_score"), (F.col("lbl") + F.coalesce("word", F.lit(0.0))).alias("score"),
+    return scored.drop("h", "tf").join(sums, "rid", "left").select(
+        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
+        (F.col("base") + F.coalesce("b", F.lit(0.0))).alias("base_score"), (F.col("lbl") + F.coalesce("word", F.lit(0.0))).alias("score"),
     )
 
 

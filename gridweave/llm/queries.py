@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, media, mixing, packing, quality, simhash, toxicity
+from . import langid, lm, media, mixing, packing, quality, simhash, toxicity
 
 QUERIES = {
     "op2_toxicity": toxicity.op2_toxicity,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_packing": packing.op5_packing,
     "op6_mixing": mixing.op6_mixing,
     "op7_media": media.op7_media,
+    "op8_lm": lm.op8_lm,
     "op9_language": langid.op9_language,
     "op10_quality": quality.op10_quality,
 }
