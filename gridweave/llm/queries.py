@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import langid, lm, media, mixing, packing, quality, simhash, toxicity
+from . import ann, langid, lm, media, mixing, packing, quality, simhash, toxicity
 
 QUERIES = {
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_simhash": simhash.op3_simhash,
+    "op4_ann": ann.op4_ann,
     "op5_packing": packing.op5_packing,
     "op6_mixing": mixing.op6_mixing,
     "op7_media": media.op7_media,
