@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import ann, langid, lm, media, mixing, packing, quality, simhash, toxicity
+from . import ann, langid, line_dedup, lm, media, mixing, packing, quality, simhash, toxicity
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_simhash": simhash.op3_simhash,
     "op4_ann": ann.op4_ann,
