@@ -10,7 +10,7 @@ The cut is found without sorting a source in one task: ranks fall into BUCKETS b
 summed first, and only the bucket that holds the cut is ordered.
 
 Defined cases: a null text has size 0; a null source is a source of its own, the last one; a null id draws as the
-text "null"; rows that tie in rank go by id, then size (equal rows are interchangeable); no rows give no rows; other columns are ignored.
+text "null"; rows that tie in rank go by id, then size, and rows equal in all three are taken together; no rows give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, cut, table
 
-BUCKETS = 4096
+BUCKETS, MOST_BROADCAST = 4096, 20_000
 
 
 def n_words(text: Column) -> Column:
@@ -51,8 +51,23 @@ def targets(rows: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float =
     return s.select("source", "source_size", F.when(F.col("level").isNull(), F.col("top")).otherwise(F.least(F.col("top"), F.col("w") * F.col("level"))).alias("target"))
 
 
-def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: str = "mix", importance: str | None = None) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken: for each row of docs (doc_id, source, text)."""
+def ranked(rows: DataFrame) -> DataFrame:
+    """Adds q, odds(u) / odds(inclusion) where a part of the source is drawn, and its bucket; rows: doc_id, f, gain."""
+    u = draw(F.col("doc_id"), "mix")
+    q = (u / (1.0 - u)) / (F.col("f") / (1.0 - F.col("f")) * F.col("gain"))
+    rows = rows.withColumn("q", F.when(F.col("f") > 0, q))
+    return rows.withColumn("bucket", F.floor(F.lit(BUCKETS) * F.col("q") / (1.0 + F.col("q"))))
+
+
+def with_sources(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """rows joined with their source's row. Few sources are broadcast; more are joined by a shuffle that splits hot ones."""
+    t = sources.withColumnRenamed("source", "s_")
+    t = F.broadcast(t) if sources.count() <= MOST_BROADCAST else t
+    return rows.join(t, F.col("source").eqNullSafe(F.col("s_"))).drop("s_")
+
+
+def plan(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0, importance: str | None = None) -> DataFrame:
+    """One row a source: source, source_size, target, whole, need, f, and where the draw ends: bucket `at`, and in it `last` (q, doc_id, size)."""
     gain = F.coalesce(F.col(importance).cast("double"), F.lit(1.0)) if importance else F.lit(1.0)
     rows = cut(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), gain.alias("gain")))
     t = cut(
@@ -61,28 +76,35 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0
         .withColumn("need", F.col("target") - F.col("whole") * F.col("source_size"))
         .withColumn("f", F.when(F.col("source_size") > 0, F.col("need") / F.col("source_size")).otherwise(F.lit(0.0)))
     )
-    u = draw(F.col("doc_id"), seed)
-    odds = F.col("f") / (1.0 - F.col("f")) * F.col("gain")
-    d = rows.withColumnRenamed("source", "s").join(t, F.col("s").eqNullSafe(F.col("source"))).withColumn("u", u)
-    d = d.withColumn("q", F.when(F.col("f") > 0, (F.col("u") / (1.0 - F.col("u"))) / odds))
-    d = d.withColumn("bucket", F.floor(F.lit(BUCKETS) * F.col("q") / (1.0 + F.col("q")))).drop("s", "u", "f", "gain")
-    b = d.where("need > 0").groupBy("source", "bucket", "need").agg(F.sum("size").alias("words"))
+    d = ranked(with_sources(rows, t).where("need > 0"))
+    b = d.groupBy("source", "bucket", "need").agg(F.sum("size").alias("words"))
     b = b.withColumn("before", F.sum("words").over(W.partitionBy("source").orderBy("bucket")) - F.col("words"))
-    b = b.where("before < need and before + words >= need").select(F.col("source").alias("s"), F.col("bucket").alias("at"), "before")
-    d = d.join(b, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    b = cut(b.where("before < need and before + words >= need").select("source", F.col("bucket").alias("at"), "before"))
     edge = W.partitionBy("source").orderBy("q", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
-    here = (
-        d.where("bucket = at")
+    last = (
+        with_sources(d, b).where("bucket = at")
         .withColumn("upto", F.sum("size").over(edge) + F.col("before"))
-        .withColumn("extra", (F.col("upto") - F.col("size") / 2.0 <= F.col("need")).cast("long")).drop("upto")
+        .where(F.col("upto") - F.col("size") / 2.0 <= F.col("need"))
+        .groupBy("source").agg(F.max(F.struct("q", "doc_id", "size")).alias("last"))
     )
-    rest = d.where("not coalesce(bucket = at, false)").withColumn("extra", F.coalesce(F.col("bucket") < F.col("at"), F.lit(False)).cast("long"))
-    out = here.unionByName(rest).withColumn("copies", F.col("whole") + F.col("extra"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    b = b.drop("before").withColumnRenamed("source", "x").join(last, F.col("x").eqNullSafe(F.col("source")), "left").drop("source")
+    return cut(t.join(b, F.col("source").eqNullSafe(F.col("x")), "left").drop("x"))
+
+
+def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0, importance: str | None = None) -> DataFrame:
+    """docs (doc_id, source, text, ...) with __size, __source_size, __target, __copies. Texts are not shuffled."""
+    p = plan(docs, weights, share, cap, importance)
+    gain = F.coalesce(F.col(importance).cast("double"), F.lit(1.0)) if importance else F.lit(1.0)
+    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), gain.alias("gain"), F.struct("*").alias("row"))
+    d = ranked(with_sources(rows, p))
+    here = (F.col("bucket") == F.col("at")) & (F.struct("q", "doc_id", "size") <= F.col("last"))
+    extra = F.coalesce((F.col("bucket") < F.col("at")) | here, F.lit(False)).cast("long")
+    return d.select("row.*", F.col("size").alias("__size"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), (F.col("whole") + extra).alias("__copies"))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    out = mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return out.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__copies") * F.col("__size")).alias("taken"))
 
 
 SQL = r"""

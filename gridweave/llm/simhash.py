@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import cut, table
 from .components import components
 
-RADIUS, SHINGLE, CHUNK = 3, 3, 1_000_000
+RADIUS, SHINGLE, CHUNK, MOST_BROADCAST = 3, 3, 1_000_000, 200_000
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -165,6 +165,20 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, radius: int = RADIUS) ->
     return rows.join(ids.select("fp", "root").join(least, "root").drop("root"), "fp").select("doc_id", "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, n: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """The rows of docs, in all their columns, but those for which a row with a smaller id (or of the same id and a smaller place) is in
+    the same component. docs must be a scan of a table (its rows are numbered twice, by files and places)."""
+    rows = docs.withColumn("__rid", F.monotonically_increasing_id())
+    found = near_duplicates(rows.select(F.col("__rid").alias("doc_id"), "text"), n, radius).select(F.col("doc_id").alias("__rid"), F.col("component_id").alias("c"))
+    groups = cut(found.join(found.groupBy("c").agg(F.count("*").alias("n")).where("n > 1").select("c"), "c"))
+    ids = rows.select("__rid", F.col("doc_id").alias("id"))
+    groups = groups.join(ids, "__rid")
+    stays = groups.groupBy("c").agg(F.min_by("__rid", F.struct(F.col("id").isNull(), "id", "__rid")).alias("__rid"))
+    gone = cut(groups.select("__rid").join(stays.select("__rid"), "__rid", "left_anti"))
+    gone = F.broadcast(gone) if gone.count() <= MOST_BROADCAST else gone
+    return rows.join(gone, "__rid", "left_anti").drop("__rid")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
