@@ -5,8 +5,9 @@ lattice: a leetspeak character may stand for a letter, a run of one letter for o
 star for a vowel; letters spaced out one by one are read as one word too. A Viterbi search over the lattice finds the
 reading of least channel cost plus language-model cost. The restored words are then scored.
 
-Scoring: a word's evidence is the largest smoothed log-odds among its whole form and its PREFIXES, counted over a
-bounded sample of labelled rows (PER_CLASS rows of each class). A document's probability is a logistic function of its
+Scoring: smoothed log-odds are counted over a bounded sample of labelled rows (PER_CLASS rows of each class), first of whole
+words, then of the PREFIXES of words that have no strong evidence as a whole. A word's evidence is that of its whole form
+or else the largest of its prefixes. A document's probability is a logistic function of its
 three largest evidences, which is fitted on labelled rows whose words were not counted for it.
 
 Defined cases: null and empty texts have no words and get the probability of no evidence; without labelled rows of
@@ -32,7 +33,7 @@ from .common import cut, fold, held_out, labelled_ids, labelled_texts, table
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c", "<": "c"}
 VOWELS = "aeiou"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõöøùúûüýßœ"
-MOD, REMAINDER, PER_CLASS, PREFIXES, PRIOR, MIN_ROWS, MAX_FEATURES, CACHE, THRESHOLD = 4, 2, 6000, (4, 5, 6), 5.0, 3, 100_000, 200_000, 0.3
+MOD, REMAINDER, PER_CLASS, PREFIXES, PRIOR, MIN_ROWS, STRONG, MAX_FEATURES, CACHE, THRESHOLD = 4, 2, 6000, (4, 5, 6), 5.0, 3, 2.0, 100_000, 200_000, 0.3
 #: Channel costs, in nats.
 SUBSTITUTE, AT_EDGE, DELETE, HIDDEN, SHORTEN = 1.0, 4.0, 1.0, 2.0, 0.5
 K = len(ALPHABET) + 2  # 0: word boundary, 1: any other letter
@@ -112,6 +113,8 @@ class Decoder:
         if c in "*#" and not edge:
             out += [(x, HIDDEN) for x in VOWELS]
         if c.isdigit():
+            out[0] = ("", 8.0)  # more than a letter costs in the model, or digits would rather vanish
+        elif c in LEET and not edge:
             out[0] = ("", 4.0)
         if not c.isalnum() and c not in LEET and c not in "*#-_.'~^":
             out = [(" ", 0.0)] if not edge else [("", 0.0)]
@@ -154,8 +157,8 @@ def restored(text: str | None, decode: Decoder) -> str:
     return " ".join(" ".join(words_of(t, decode)) for t in low.split())
 
 
-def features(word: str) -> list[str]:
-    return [f"={word}", *(f"^{word[:n]}" for n in PREFIXES if len(word) >= n)]
+def prefixes(word: str) -> list[str]:
+    return [word[:n] for n in PREFIXES if len(word) > n]
 
 
 def doc_words(text: str | None, decode: Decoder, known: dict[str, list[str]]) -> set[str]:
@@ -176,12 +179,15 @@ def doc_words(text: str | None, decode: Decoder, known: dict[str, list[str]]) ->
 # --- evidence and scores ------------------------------------------------------------------------------------------
 
 
-def _counts(cost: np.ndarray):
+def _counts(cost: np.ndarray, strong: dict[str, float] | None):
+    """Rows by whole word, or, given the strong words, by prefix of all others."""
+    cut_up = (lambda w: [w]) if strong is None else (lambda w: [] if w in strong else prefixes(w))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decode, known, seen = Decoder(cost), {}, Counter()
         for b in batches:
             for text, y, part in zip(*(b.column(i).to_pylist() for i in range(3))):
-                seen.update((f, y, part) for f in {f for w in doc_words(text, decode, known) for f in features(w)})
+                seen.update((f, y, part) for f in {f for w in doc_words(text, decode, known) for f in cut_up(w)})
         rows = [(*k, n) for k, n in seen.items()]
         cols = list(zip(*rows)) or [()] * 4
         for i in range(0, max(1, len(rows)), 50_000):
@@ -190,21 +196,29 @@ def _counts(cost: np.ndarray):
     return run
 
 
-def evidence(counts: DataFrame, parts: list[int], sizes: dict[tuple[int, int], int], prior: float) -> dict[str, float]:
-    """Log-odds above the prior of features seen in MIN_ROWS toxic rows or more; the MAX_FEATURES largest at most."""
+def evidence(counts: DataFrame, parts: list[int], sizes: dict[tuple[int, int], int], prior: float, least: int, floor: float) -> dict[str, float]:
+    """Log-odds above the prior, over `floor`, of what was seen in `least` toxic rows or more; the MAX_FEATURES largest at most."""
     rows = counts.where(F.col("part").isin(parts)).groupBy("f").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum("n").alias("n"))
-    # rows of either class weigh as they occur in the whole table
-    w = {y: prior_y / max(1, sum(sizes.get((y, p), 0) for p in parts)) for y, prior_y in ((1, prior), (0, 1 - prior))}
-    scale = sum(sizes.get((1, p), 0) for p in parts) / prior
-    t, c = F.col("t") * w[1] * scale, (F.col("n") - F.col("t")) * w[0] * scale
+    # rows of either class weigh as they occur in the whole table; toxic rows count as one
+    n1, n0 = (max(1, sum(sizes.get((y, p), 0) for p in parts)) for y in (1, 0))
+    t, c = F.col("t"), (F.col("n") - F.col("t")) * ((1 - prior) / n0 * n1 / prior)
     p = (t + PRIOR * prior) / (t + c + PRIOR)
-    rows = rows.where(F.col("t") >= MIN_ROWS).select("f", (F.log(p / (1 - p)) - math.log(prior / (1 - prior))).alias("s"))
-    return {f: s for f, s in rows.where("s > 0.5").orderBy(F.desc("s"), "f").limit(MAX_FEATURES).collect()}
+    rows = rows.where(t >= least).select("f", (F.log(p / (1 - p)) - math.log(prior / (1 - prior))).alias("s"))
+    return {f: s for f, s in rows.where(F.col("s") > floor).orderBy(F.desc("s"), "f").limit(MAX_FEATURES).collect()}
+
+
+def learned(rows: DataFrame, cost: np.ndarray, parts: list[int], sizes: dict, prior: float) -> tuple[dict[str, float], dict[str, float]]:
+    """Evidence of whole words and of prefixes, from rows (text, y, part) of some parts."""
+    kind = "f string, y int, part int, n long"
+    rows = rows.where(F.col("part").isin(parts))
+    whole = evidence(rows.mapInArrow(_counts(cost, None), kind), parts, sizes, prior, MIN_ROWS, STRONG)
+    return whole, evidence(rows.mapInArrow(_counts(cost, whole), kind), parts, sizes, prior, 2 * MIN_ROWS, 0.5)
 
 
-def _top(cost: np.ndarray, weights: dict[str, float]):
+def _top(cost: np.ndarray, weights: tuple[dict[str, float], dict[str, float]]):
     """texts -> (n, 3) largest evidences."""
     decode, known, scored = Decoder(cost), {}, {}
+    whole, start = weights
 
     def run(texts: list) -> np.ndarray:
         out = np.zeros((len(texts), 3))
@@ -215,7 +229,7 @@ def _top(cost: np.ndarray, weights: dict[str, float]):
                 if s is None:
                     if len(scored) >= CACHE:
                         scored.clear()
-                    s = scored[w] = max((weights.get(f, 0.0) for f in features(w)), default=0.0)
+                    s = scored[w] = whole.get(w) or max((start.get(f, 0.0) for f in prefixes(w)), default=0.0)
                 if s > 0:
                     found.append(s)
             best = nlargest(3, found)
@@ -249,10 +263,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
     known = labels.where(F.col("doc_id").isNotNull() & (fold("doc_id", MOD) != REMAINDER))
     prior = float(known.agg(F.avg((F.col(label) == 1).cast("double"))).first()[0])
     cost = char_model(docs)
-    counts = cut(rows.mapInArrow(_counts(cost), "f string, y int, part int, n long").groupBy("f", "y", "part").agg(F.sum("n").alias("n")))
     parts = sorted({p for _, p in sizes})
     last = parts[-1]
-    first = evidence(counts, [p for p in parts if p != last] or parts, sizes, prior)
+    first = learned(rows, cost, [p for p in parts if p != last] or parts, sizes, prior)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         top = _top(cost, first)
@@ -263,7 +276,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
     y, x = np.array([r[0] for r in got], float), np.array([r[1:] for r in got], float).reshape(len(got), 3)
     n1 = max(1.0, y.sum())
     weight = np.where(y == 1, prior / n1, (1 - prior) / max(1.0, len(y) - n1)) * len(y)
-    return cost, evidence(counts, parts, sizes, prior), logistic(x, y, weight)
+    return cost, learned(rows, cost, parts, sizes, prior), logistic(x, y, weight)
 
 
 def score(docs: DataFrame, model) -> DataFrame:
