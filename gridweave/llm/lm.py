@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import chance, cut, held_out, table
 
 MOD, REMAINDER = 7, 2
-CLASSES, DIM, CONTEXT, NOISE, RATE, BATCH, WARM_DOCS, GROUPS = 1024, 32, 6, 64, 0.1, 512, 1000, 16
+CLASSES, DIM, CONTEXT, NOISE, RATE, BATCH, WARM_DOCS, GROUPS = 512, 16, 4, 64, 0.1, 1024, 1000, 16
 END, OTHER = 0, 1
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -141,16 +141,19 @@ def nce(model: dict, x: np.ndarray, t: np.ndarray, noise: np.ndarray, rng, past:
     return past
 
 
-def log10_probabilities(model: dict, x: np.ndarray, t: np.ndarray, block: int = 4096) -> np.ndarray:
+def log10_probabilities(model: dict, x: np.ndarray, t: np.ndarray, block: int = 512) -> np.ndarray:
     """Normalised, for the classes at the places t of x."""
     out = np.empty(len(t))
-    qt = np.ascontiguousarray(model["Q"].T)
+    # biases and a bound on each row's scores (so that none overflows) ride in the product
+    q = np.concatenate([model["Q"], model["b"][:, None], np.ones((len(model["b"]), 1), np.float32)], axis=1).T.copy()
+    longest, top = float(np.sqrt((model["Q"] ** 2).sum(1).max())), float(model["b"].max())
     for i in range(0, len(t), block):
         at = t[i : i + block]
         pred = sum(model["R"][x[at - 1 - k]] * model["C"][k] for k in range(CONTEXT))
-        s = pred @ qt
-        s += model["b"]
-        s -= s.max(1, keepdims=True)
+        bound = np.sqrt(np.einsum("nd,nd->n", pred, pred)) * longest + top
+        if bound.max(initial=0) > 80:  # then the largest score itself
+            bound = (pred @ q[:-2] + q[-2]).max(1)
+        s = np.concatenate([pred, np.ones((len(at), 1), np.float32), -bound[:, None].astype(np.float32)], axis=1) @ q
         own = s[np.arange(len(at)), x[at]].copy()
         np.exp(s, out=s)
         out[i : i + block] = own - np.log(s.sum(1))
