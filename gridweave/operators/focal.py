@@ -86,10 +86,12 @@ def focal(g: DataFrame, method: str, height: int, width: int, size: int = 3, dis
 
 def focal_mode(g: DataFrame, height: int, width: int, size: int = 3, disc: bool = False, priors: dict | None = None) -> DataFrame:
     """The value of most votes; ties go to the centre, then to the lowest. priors: weight by class (majority voting)."""
-    w = windows(g, height, width, offsets(size, disc=disc)).where("v is not null")
+    w = windows(g, height, width, offsets(size, disc=disc))
     weight = F.coalesce(F.create_map(*[F.lit(x) for kv in priors.items() for x in kv])[F.col("v")], F.lit(0.0)) if priors else F.lit(1.0)
-    votes = w.groupBy(*KEY, F.col("v").alias("k")).agg(F.sum(weight).alias("n"), F.coalesce(F.max((F.col("v") == F.col("c")).cast("int")), F.lit(0)).alias("own"))
-    return votes.groupBy(*KEY).agg(F.max_by("k", F.struct("n", "own", -F.col("k"))).alias("v"))
+    here = (F.col("di") == 0) & (F.col("dj") == 0)
+    votes = w.groupBy(*KEY, F.col("v").alias("k")).agg(F.sum(weight).alias("n"), F.coalesce(F.max((F.col("v") == F.col("c")).cast("int")), F.lit(0)).alias("own"), F.max(here).alias("here"))
+    order = F.when(F.col("k").isNotNull(), F.struct("n", "own", -F.col("k")))
+    return votes.groupBy(*KEY).agg(F.max_by("k", order).alias("v"), F.max("here").alias("here")).where("here").drop("here")
 
 
 def focal_threshold(g: DataFrame, height: int, width: int, classes: list[float], shares: list[float], size: int = 3) -> DataFrame:
