@@ -179,7 +179,8 @@ def _int_p(f):
 def suffix_ranks(docs_lines: DataFrame) -> DataFrame:
     """pos, end, a, b, r, parted: for each position whose line repeats. (a, b, r) sorts the suffixes; parted: round in which it became single."""
     each = docs_lines.select((F.col("start") + F.col("n")).alias("end"), F.posexplode(F.arrays_zip("a", "b")), "start").select((F.col("start") + F.col("pos")).alias("pos"), "end", "col.a", "col.b")
-    often = docs_lines.select(F.explode(F.arrays_zip("a", "b")).alias("x")).groupBy("x.a", "x.b").agg(F.count("*").alias("c")).where("c > 1").select("a", "b")
+    # cut, so that the join has a shuffle of its own, whose hot partitions can be split
+    often = cut(docs_lines.select(F.explode(F.arrays_zip("a", "b")).alias("x")).groupBy("x.a", "x.b").agg(F.count("*").alias("c")).where("c > 1").select("a", "b"))
     rows = cut(each.join(often, ["a", "b"], "left_semi").withColumn("r", F.lit(0).cast("long")).withColumn("many", F.lit(True)))
     done, all_ranks, k = [], rows.select("pos", "r", "a", "b"), 0
     while True:
