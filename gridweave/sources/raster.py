@@ -54,7 +54,7 @@ def cast_type(v: Column, kind: str) -> Column:
 
 def read_matrix(spark: SparkSession, path: str, comment: str = "#") -> DataFrame:
     """y, x, v of text matrices, one line a row, fields apart by blanks. Line numbers come from the whole file, so a file is read by one task."""
-    t = spark.read.option("wholetext", True).text(path).select(F.filter(F.split("value", "\n"), lambda r: (F.trim(r) != "") & ~F.ltrim(r).startswith(comment)).alias("rows"))
+    t = spark.read.text(path, wholetext=True).select(F.filter(F.split("value", "\n"), lambda r: (F.trim(r) != "") & ~F.ltrim(r).startswith(comment)).alias("rows"))
     t = t.select(F.posexplode("rows").alias("y", "r")).select("y", F.posexplode(F.split(F.trim("r"), r"[\s,;]+")).alias("x", "v"))
     return t.select("y", "x", F.col("v").cast("double").alias("v"))
 
