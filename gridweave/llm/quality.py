@@ -25,16 +25,16 @@ FILTERS, WIDTH, EMBED, CHUNK, EPOCHS, BATCH, RATE, BLOCK = 16, 5, 6, 512, 10, 16
 
 
 def windows(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes of all texts, WIDTH - 1 zeros after each; first window start of each chunk; chunks of each text."""
-    parts, starts, many, at = [], [], [], 0
+    """Bytes of all texts, WIDTH - 1 zeros after each; (first, end) of each chunk's window starts; chunks of each text."""
+    parts, spans, many, at = [], [], [], 0
     for text in texts:
         raw = (text or "").encode("utf-8", "surrogatepass") or b"\0"
         parts.append(raw + bytes(WIDTH - 1))
         s = range(at, at + len(raw), CHUNK)
-        starts.extend(s)
+        spans.extend((i, min(i + CHUNK, at + len(raw))) for i in s)
         many.append(len(s))
         at += len(raw) + WIDTH - 1
-    return np.frombuffer(b"".join(parts), np.uint8), np.array(starts), np.array(many)
+    return np.frombuffer(b"".join(parts) + b"\0", np.uint8), np.array(spans), np.array(many)
 
 
 def tables(model: dict) -> np.ndarray:
@@ -50,9 +50,9 @@ def convolved(x: np.ndarray, t: np.ndarray) -> np.ndarray:
     return out
 
 
-def chunk_maxima(x: np.ndarray, starts: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """(chunks, FILTERS). Windows over the zeros between two texts count for the former text."""
-    return np.maximum.reduceat(convolved(x, t), starts, axis=0)
+def chunk_maxima(out: np.ndarray, spans: np.ndarray) -> np.ndarray:
+    """(chunks, FILTERS) of what convolved() gave. Windows that start between two texts belong to neither."""
+    return np.maximum.reduceat(out, spans.reshape(-1), axis=0)[::2]
 
 
 def pooled(m: np.ndarray, many: np.ndarray) -> np.ndarray:
@@ -65,8 +65,8 @@ def predict(texts: list, model: dict, t: np.ndarray) -> np.ndarray:
     out, group, size = [], [], 0
 
     def run() -> None:
-        x, starts, many = windows(group)
-        z = pooled(np.maximum(chunk_maxima(x, starts, t) + model["b"], 0), many)
+        x, spans, many = windows(group)
+        z = pooled(np.maximum(chunk_maxima(convolved(x, t), spans) + model["b"], 0), many)
         out.append(1 / (1 + np.exp(-np.clip(z @ model["v"] + model["c"], -30, 30))))
 
     for text in texts:
@@ -90,11 +90,10 @@ def fit(texts: list[str], y: np.ndarray, epochs: int = EPOCHS, seed: int = 3) ->
         order = rng.permutation(len(texts))
         for i in range(0, len(order), BATCH):
             pick = order[i : i + BATCH]
-            x, starts, many = windows([texts[j] for j in pick])
+            x, spans, many = windows([texts[j] for j in pick])
             out = convolved(x, tables(model))
-            m = np.maximum.reduceat(out, starts, axis=0)
-            ends = np.r_[starts[1:], len(out)]
-            best = np.stack([a + out[a:b].argmax(0) for a, b in zip(starts, ends)])  # (chunks, FILTERS)
+            m = chunk_maxima(out, spans)
+            best = np.stack([a + out[a:b].argmax(0) for a, b in spans])  # (chunks, FILTERS)
             r = np.maximum(m + model["b"], 0)
             z = pooled(r, many)
             d = (1 / (1 + np.exp(-np.clip(z @ model["v"] + model["c"], -30, 30))) - y[pick]) / len(pick)
