@@ -56,21 +56,21 @@ def read_matrix(spark: SparkSession, path: str, comment: str = "#") -> DataFrame
     """y, x, v of text matrices, one line a row, fields apart by blanks. Line numbers come from the whole file, so a file is read by one task."""
     t = spark.read.text(path, wholetext=True).select(F.filter(F.split("value", "\n"), lambda r: (F.trim(r) != "") & ~F.ltrim(r).startswith(comment)).alias("rows"))
     t = t.select(F.posexplode("rows").alias("y", "r")).select("y", F.posexplode(F.split(F.trim("r"), r"[\s,;]+")).alias("x", "v"))
-    return t.select("y", "x", F.col("v").cast("double").alias("v"))
+    return t.select("y", "x", F.col("v").try_cast("double").alias("v"))
 
 
 def read_columns(spark: SparkSession, path: str, columns: list[int], sep: str | None = None, comment: str = "#", scale: float = 1.0, offset: float = 0.0) -> DataFrame:
     """c0, c1, ...: chosen columns of delimited text, scaled."""
     t = spark.read.text(path).where(~F.ltrim("value").startswith(comment) & (F.trim("value") != ""))
     parts = F.split(F.trim("value"), f"\\Q{sep}\\E" if sep else r"\s+")
-    return t.select(*[(F.get(parts, F.lit(c)).cast("double") * scale + offset).alias(f"c{i}") for i, c in enumerate(columns)])
+    return t.select(*[(F.get(parts, F.lit(c)).try_cast("double") * scale + offset).alias(f"c{i}") for i, c in enumerate(columns)])
 
 
 def read_points(spark: SparkSession, path: str, x: int = 0, y: int = 1, fields: dict | None = None, sep: str = ",") -> DataFrame:
-    """x, y and named, typed fields {name: (column, type)} of delimited text."""
+    """x, y and named, typed fields {name: (column, type)} of delimited text; what is not of its type is NULL."""
     t = spark.read.text(path)
     p = F.split("value", f"\\Q{sep}\\E")
-    return t.select(F.get(p, F.lit(x)).cast("double").alias("x"), F.get(p, F.lit(y)).cast("double").alias("y"), *[F.get(p, F.lit(c)).cast(k).alias(n) for n, (c, k) in (fields or {}).items()])
+    return t.select(F.get(p, F.lit(x)).try_cast("double").alias("x"), F.get(p, F.lit(y)).try_cast("double").alias("y"), *[F.get(p, F.lit(c)).try_cast(k).alias(n) for n, (c, k) in (fields or {}).items()])
 
 
 def as_polygon(points: DataFrame, order: str, by: str) -> DataFrame:
