@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .regions import durable
+
 KEY = ["y", "x"]
 
 
@@ -281,7 +283,8 @@ def dem_filter(g: DataFrame, method: str, height: int, width: int, size: int = 3
             break
         low = opened(g, height, width, n) if method == "promorph" else focal(g, "min", height, width, n)
         step = g.join(low.withColumnRenamed("v", "low"), KEY, "left").withColumn("moved", F.col("v") - F.col("low") > least * (r + 1))
-        step = step.select(*KEY, F.when(F.col("moved"), F.col("low")).otherwise(F.col("v")).alias("v"), "moved").checkpoint()
+        step = step.select(*KEY, F.when(F.col("moved"), F.col("low")).otherwise(F.col("v")).alias("v"), "moved")
+        step = durable(step)
         g = step.drop("moved")
         if step.where("moved").isEmpty():
             break

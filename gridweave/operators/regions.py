@@ -10,7 +10,8 @@ FOUR = [(0, 1), (1, 0)]
 EIGHT = [(0, 1), (1, 0), (1, 1), (1, -1)]
 
 
-def _durable(df: DataFrame) -> DataFrame:
+def durable(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the folder that spark.checkpoint.dir names."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         import tempfile
@@ -31,7 +32,7 @@ def regions(g: DataFrame, directions: list[tuple[int, int]] = FOUR) -> DataFrame
     logarithm of a region's diameter, and each is an aggregation and a join on labels."""
     node = lambda y, x: F.col(y).cast("long") * (1 << 31) + F.col(x)
     e = neighbours(g.where("v is not null"), directions).where("v = v2").select(node("y", "x").alias("a"), node("y2", "x2").alias("b"))
-    e = _durable(e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
+    e = durable(e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
     while True:
         many = e.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u")
         deep = e.join(e.select(F.col("v").alias("u")).distinct(), "u", "left_semi")
@@ -42,14 +43,14 @@ def regions(g: DataFrame, directions: list[tuple[int, int]] = FOUR) -> DataFrame
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        e = _durable(small.where("u <> v").distinct())
+        e = durable(small.where("u <> v").distinct())
     out = g.where("v is not null").withColumn("u", node("y", "x")).join(e.withColumnRenamed("v", "root"), "u", "left")
     return out.select("y", "x", "v", F.coalesce("root", "u").alias("region"))
 
 
 def sieve(g: DataFrame, size: int, directions: list[tuple[int, int]] = FOUR) -> DataFrame:
     """y, x, v: regions below `size` pixels take the value of their largest neighbour region (the lowest number wins ties), if that one is large enough to stay."""
-    r = _durable(regions(g, directions))
+    r = durable(regions(g, directions))
     area = r.groupBy("region", "v").agg(F.count("*").alias("n"))
     touch = neighbours(r.select("y", "x", F.col("region").alias("v")), directions).where("v <> v2")
     pairs = touch.select("v", "v2").unionByName(touch.select(F.col("v2").alias("v"), F.col("v").alias("v2"))).distinct()
@@ -60,7 +61,7 @@ def sieve(g: DataFrame, size: int, directions: list[tuple[int, int]] = FOUR) ->
 
 def polygonize(g: DataFrame, directions: list[tuple[int, int]] = FOUR) -> DataFrame:
     """region, v, n (pixels), edges (array of unit boundary segments x0, y0, x1, y1; the region lies to their left): edges shared by two pixels of a region cancel."""
-    r = _durable(regions(g, directions))
+    r = durable(regions(g, directions))
     sides = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c"), F.lit(d).alias("d")) for a, b, c, d in ((0, 0, 0, 1), (0, 1, 1, 1), (1, 1, 1, 0), (1, 0, 0, 0))])
     e = r.select("region", "v", "y", "x", F.explode(sides).alias("s")).select("region", "v", (F.col("x") + F.col("s.a")).alias("x0"), (F.col("y") + F.col("s.b")).alias("y0"), (F.col("x") + F.col("s.c")).alias("x1"), (F.col("y") + F.col("s.d")).alias("y1"))
     low = F.struct(F.least("x0", "x1"), F.least("y0", "y1"), F.greatest("x0", "x1"), F.greatest("y0", "y1"))

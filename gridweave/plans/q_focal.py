@@ -102,3 +102,5 @@ query("o116_wavelet2d_cut")(lambda s, d: O.per_tile(X.pixels(s, d).select("scene
 query("o117_linear_feature")(lambda s, d: O.per_tile(X.pixels(s, d).select("scene", "y", "x", F.col("b2").alias("v")), O.line_length))
 query("o119_ground_pass")(lambda s, d: O.per_tile(X.pixels(s, d).select("scene", "y", "x", F.col("b0").alias("v")), lambda a: O.ground_pass(O.ground_pass(a, 5.0), 5.0, "senw")))
 query("o120_dem_open", X.sql(X.PIXELS, X.GRID, _window(3), *_OPEN))(lambda s, d: O.dem_filter(X.grid(s, d), "open", N, N))
+for _m in ("promorph", "etew_min"):
+    query(f"o120_dem_{_m}")(lambda s, d, m=_m: O.dem_filter(X.grid(s, d), m, N, N, rounds=3))

@@ -63,3 +63,13 @@ query("o076_field_stats", "SELECT p_brand AS grp, count(*) AS n, min(p_size) AS
 )
 query("o081_rollup", X.sql(PX, "SELECT scene, y, count(*) AS n, sum(b0) AS s FROM px GROUP BY ROLLUP (scene, y)"))(lambda s, d: X.pixels(s, d).rollup("scene", "y").agg(F.count("*").alias("n"), F.sum("b0").alias("s")))
 query("o081_cube", X.sql(PX, "SELECT scene, b2, count(*) AS n FROM px GROUP BY CUBE (scene, b2)"))(lambda s, d: X.pixels(s, d).cube("scene", "b2").agg(F.count("*").alias("n")))
+_ONE = {
+    "o051_abs_extremes": ("arg_min(v, row(abs(v), v)) AS absmin, arg_max(v, row(abs(v), v)) AS absmax", ["absmin", "absmax"]), "o054_mean": ("round(avg(v), 6) AS mean", ["mean"]), "o056_median": ("median(v) AS median", ["median"]),
+    "o057_variance": ("round(var_pop(v), 6) AS var, round(stddev_pop(v), 6) AS stdev", ["var", "stdev"]),
+    "o059_skewness": ("round((avg(v*v*v) - 3 * avg(v) * avg(v*v) + 2 * avg(v) ** 3) / stddev_pop(v) ** 3, 6) AS skewness", ["skewness"]),
+}
+for _name, (_sql, _cols) in _ONE.items():
+    query(_name, X.sql(PX, G, f"SELECT {_sql} FROM g"))(lambda s, d, c=_cols: _r(S.describe(X.grid(s, d)).select(*c)))
+query("o075_column_stats", "SELECT l_returnflag AS grp, count(l_quantity) AS n, min(l_quantity) AS min, max(l_quantity) AS max, round(avg(l_quantity), 6) AS mean, median(l_quantity) AS median FROM lineitem WHERE l_linenumber BETWEEN 2 AND 5 GROUP BY 1")(
+    lambda s, d: _r(X.table(s, d, "lineitem").where("l_linenumber between 2 and 5").groupBy(F.col("l_returnflag").alias("grp")).agg(F.count("l_quantity").alias("n"), F.min("l_quantity").alias("min"), F.max("l_quantity").alias("max"), F.avg("l_quantity").alias("mean"), F.median("l_quantity").alias("median")))
+)
