@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import chance, cut, held_out, table
 
 MOD, REMAINDER = 7, 2
-CLASSES, DIM, CONTEXT, NOISE, RATE, BATCH, WARM_DOCS, GROUPS = 512, 16, 4, 64, 0.1, 1024, 1000, 16
+CLASSES, DIM, CONTEXT, NOISE, RATE, BATCH, WARM_DOCS, GROUPS = 384, 16, 3, 64, 0.1, 1024, 1000, 16
 END, OTHER = 0, 1
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -40,13 +40,6 @@ def words(text: str | None) -> list[bytes]:
     return _WORD.findall((text or "").encode("utf-8", "surrogatepass").lower())  # bytes.lower() changes A-Z alone
 
 
-def word_hash(w: bytes) -> int:
-    import xxhash
-
-    h = xxhash.xxh64_intdigest(w, 42)
-    return h - (1 << 64) if h >> 63 else h
-
-
 # --- counts -------------------------------------------------------------------------------------------------------
 
 
@@ -76,18 +69,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
 # --- the log-bilinear model ---------------------------------------------------------------------------------------
 
 
-def classes_of(texts: list, ids: dict[bytes, int]) -> np.ndarray:
-    """Classes of all texts in one row, CONTEXT ends before each text."""
-    out: list[int] = []
-    for text in texts:
-        out.extend([END] * CONTEXT)
-        out.extend([ids.get(w, OTHER) for w in words(text)])
-        out.append(END)
-    return np.array(out, np.int64)
-
-
 def _targets(x: np.ndarray, texts_lengths: np.ndarray) -> np.ndarray:
-    """Places of the predicted tokens in classes_of()."""
+    """Places of the predicted tokens in _batch()."""
     at = np.cumsum(texts_lengths) - texts_lengths
     keep = np.ones(len(x), bool)
     for k in range(CONTEXT):
@@ -104,7 +87,7 @@ def start(freq: np.ndarray, seed: int = 5) -> dict[str, np.ndarray]:
 
 def _scattered(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     """Sums of the rows that go to each of n places."""
-    order = np.argsort(at, kind="stable")
+    order = np.argsort(at.astype(np.int16), kind="stable")  # classes fit; 16 bits sort by radix
     to = at[order]
     first = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
     out = np.zeros((n, rows.shape[1]), np.float32)
@@ -170,17 +153,18 @@ def _unpack(raw: np.ndarray, n: int) -> dict:
     return {"R": raw[:a].reshape(n, DIM), "Q": raw[a : 2 * a].reshape(n, DIM), "C": raw[2 * a : 2 * a + c].reshape(CONTEXT, DIM), "b": raw[2 * a + c :]}
 
 
-def _batch(texts: list, ids: dict) -> tuple[np.ndarray, np.ndarray]:
+def _batch(texts: list[list[bytes]], ids: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of all texts' words in one row, CONTEXT ends before each text and one after it; and the places to predict."""
+    out: list[int] = []
     lengths = []
-    x = []
-    for text in texts:
-        c = classes_of([text], ids)
-        x.append(c)
-        lengths.append(len(c))
-    if not x:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    x = np.concatenate(x)
-    return x, _targets(x, np.array(lengths))
+    get = ids.get
+    for ws in texts:
+        out.extend([END] * CONTEXT)
+        out.extend([get(w, OTHER) for w in ws])
+        out.append(END)
+        lengths.append(len(ws) + CONTEXT + 1)
+    x = np.array(out, np.int64)
+    return x, _targets(x, np.array(lengths, np.int64)) if lengths else x
 
 
 def _local(held):
@@ -193,7 +177,7 @@ def _local(held):
         rng = np.random.default_rng(pid)
         for b in batches:
             for i in range(0, b.num_rows, 200):
-                x, t = _batch(b.column(0).slice(i, 200).to_pylist(), ids)
+                x, t = _batch([words(v) for v in b.column(0).slice(i, 200).to_pylist()], ids)
                 n += len(t)
                 nce(model, x, rng.permutation(t), freq, rng, past)
         raw = np.frombuffer(_pack(model), np.float32).astype(np.float64) * n
@@ -228,7 +212,7 @@ def train(docs: DataFrame, top: list, n_docs: int, tokens: int) -> tuple[dict[by
         return ids, model
     warm = sorted((r["text"] or "") for r in docs.where(chance(F.xxhash64(F.coalesce("text", F.lit(""))), 11) < min(1.0, WARM_DOCS / n_docs)).select("text").limit(2 * WARM_DOCS).collect())
     rng = np.random.default_rng(1)
-    x, t = _batch(warm, ids)
+    x, t = _batch([words(v) for v in warm], ids)
     past = nce(model, x, rng.permutation(t), freq, rng)
     held = spark.sparkContext.broadcast((ids, freq, model, past))
     kind = "g int, n long, raw binary"
@@ -242,8 +226,7 @@ def train(docs: DataFrame, top: list, n_docs: int, tokens: int) -> tuple[dict[by
 
 def _scored(held):
     """For each document: its class score, the base score and number of its vocabulary tokens, and its other distinct words' hashes and occurrences."""
-    names = ["rid", "doc_id", "held_out", "n_tokens", "lbl", "base", "known", "h", "tf"]
-    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+    from xxhash import xxh64_intdigest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, model, base = held.value  # base: of each vocabulary word and the end
@@ -251,21 +234,29 @@ def _scored(held):
         for b in batches:
             for i in range(0, b.num_rows, 100):
                 part = b.slice(i, 100)
-                texts = part.column(2).to_pylist()
+                texts = [words(v) for v in part.column(2).to_pylist()]
                 x, t = _batch(texts, ids)
-                logs = log10_probabilities(model, x, t)
-                own = x[t]
-                rows, at = [], 0
-                for doc_id, held_, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts):
-                    ws = words(text)
-                    n = len(ws) + 1
-                    rare = Counter(w for w in ws if w not in ids)
-                    k = own[at : at + n]
-                    k = k[k != OTHER]
-                    rows.append((rid, doc_id, held_, n, float(logs[at : at + n].sum()), float(base[k].sum()), len(k) - (base[END] == base[OTHER]), [word_hash(w) for w in rare], list(rare.values())))
-                    rid += 1
-                    at += n
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+                logs, own = log10_probabilities(model, x, t), x[t]
+                n = np.array([len(ws) + 1 for ws in texts])
+                at = np.cumsum(n) - n
+                known = own != OTHER
+                hashes, tf, many = [], [], []
+                for ws, start, k in zip(texts, at.tolist(), n.tolist()):
+                    rare = Counter([ws[j] for j in np.flatnonzero(~known[start : start + k]).tolist()])
+                    hashes.extend([xxh64_intdigest(w, 42) for w in rare])
+                    tf.extend(rare.values())
+                    many.append(len(rare))
+                offsets = pa.array(np.r_[0, np.cumsum(many)].astype(np.int32))
+                end_unknown = base[END] == base[OTHER]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.arange(rid, rid + len(n))), part.column(0), part.column(1), pa.array(n), pa.array(np.add.reduceat(logs, at)), pa.array(np.add.reduceat(np.where(known, base[own], 0.0), at)),
+                        pa.array(np.add.reduceat(known.astype(np.int64), at) - int(end_unknown)),
+                        pa.ListArray.from_arrays(offsets, pa.array(np.array(hashes, np.uint64).view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(np.array(tf, np.int32))),
+                    ],
+                    ["rid", "doc_id", "held_out", "n_tokens", "lbl", "base", "known", "h", "tf"],
+                )
+                rid += len(n)
 
     return run
 
