@@ -41,6 +41,7 @@ _CODE = {c: i + 2 for i, c in enumerate(ALPHABET)}
 _RUNS = re.compile(r"(.)\1*", re.S)
 _PLAIN = re.compile(r"[^\W\d_]+")
 _LONG = re.compile(r"(.)\1\1")
+_DOUBLE = re.compile(r"(.)\1")
 _SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[ .\-_*][^\W_]){3,}(?![^\W_])")
 _EDGE = " \t\n\r\x0b\x0c.,;:?!\"'()[]{}«»¿¡…–—-%&#*~^=/\\_"
 
@@ -141,9 +142,9 @@ class Decoder:
 
 
 def words_of(token: str, decode: Decoder) -> list[str]:
-    """The restored words of a lower-case token."""
+    """The restored words of a lower-case token, and those that it shows as it is."""
     bare = token.strip(_EDGE)
-    if _PLAIN.fullmatch(bare) and not _LONG.search(bare) and "$" not in token:
+    if _PLAIN.fullmatch(bare) and not _DOUBLE.search(bare) and "$" not in token:
         return [bare]
     parts = _PLAIN.findall(token)
     if not parts:
