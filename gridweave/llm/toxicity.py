@@ -2,7 +2,8 @@
 
 A character trigram language model is counted over all documents (no labels). Each token that has more than one reading is a
 lattice: a leetspeak character may stand for a letter, a run of one letter for one or two, an inner symbol for nothing, a
-star for a vowel; letters spaced out one by one are read as one word too. A Viterbi search over the lattice finds the
+star for a vowel. Neighbouring tokens of SHORT characters or fewer are one lattice, in which each separator is a word end or nothing, so
+letters spaced out and words split or run together part where the language model has them part. A Viterbi search over the lattice finds the
 reading of least channel cost plus language-model cost. The restored words are then scored.
 
 Scoring: smoothed log-odds are counted over a bounded sample of labelled rows (PER_CLASS rows of each class), first of whole
@@ -35,14 +36,17 @@ VOWELS = "aeiou"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõöøùúûüýßœ"
 MOD, REMAINDER, PER_CLASS, PREFIXES, PRIOR, MIN_ROWS, STRONG, MAX_FEATURES, CACHE, THRESHOLD = 4, 2, 6000, (4, 5, 6), 5.0, 3, 2.0, 100_000, 200_000, 0.3
 #: Channel costs, in nats.
-SUBSTITUTE, AT_EDGE, DELETE, HIDDEN, SHORTEN = 1.0, 4.0, 1.0, 2.0, 0.5
+SUBSTITUTE, AT_EDGE, DELETE, HIDDEN, SHORTEN, JOIN = 1.0, 4.0, 1.0, 2.0, 0.5, 1.0
+SHORT = 4  # characters of a token that may be a part of a word
 K = len(ALPHABET) + 2  # 0: word boundary, 1: any other letter
 _CODE = {c: i + 2 for i, c in enumerate(ALPHABET)}
 _RUNS = re.compile(r"(.)\1*", re.S)
 _PLAIN = re.compile(r"[^\W\d_]+")
 _LONG = re.compile(r"(.)\1\1")
 _DOUBLE = re.compile(r"(.)\1")
-_SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[ .\-_*][^\W_]){3,}(?![^\W_])")
+_UNIT, _GAP = r"(?:[^\W_]|[@$!+€£]){1,%d}" % SHORT, r"[\s./\\\-_*]{1,4}"
+_SPAN = re.compile(rf"(?<![^\W_]){_UNIT}(?:{_GAP}{_UNIT})+(?![^\W_])")
+_CUT = re.compile(f"({_GAP})")
 _EDGE = " \t\n\r\x0b\x0c.,;:?!\"'()[]{}«»¿¡…–—-%&#*~^=/\\_"
 
 
@@ -95,7 +99,7 @@ class Decoder:
     """Restores tokens. cost: of char_model()."""
 
     def __init__(self, cost: np.ndarray):
-        self.cost = cost.reshape(-1).tolist()
+        self.cost, self.seen = cost.reshape(-1).tolist(), {}
 
     def options(self, c: str, n: int, edge: bool) -> list[tuple[str, float]]:
         """Readings of a run of n characters c."""
@@ -124,21 +128,78 @@ class Decoder:
     def __call__(self, token: str) -> str:
         """The best reading of a lower-case token; a space in it parts words."""
         runs = [(m[1], len(m[0])) for m in _RUNS.finditer(token)]
-        states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        cost, last = self.cost, len(runs) - 1
-        for i, (c, n) in enumerate(runs):
-            new: dict[tuple[int, int], tuple[float, str]] = {}
-            for text, channel in self.options(c, n, i == 0 or i == last):
-                for (a, b), (sofar, path) in states.items():
-                    s = sofar + channel
-                    for x in text:
-                        k = 0 if x == " " else _CODE.get(x, 1)
-                        s += cost[(a * K + b) * K + k]
-                        a, b = b, k
-                    if (a, b) not in new or s < new[a, b][0]:
-                        new[a, b] = (s, path + text)
+        last = len(runs) - 1
+        return self.best([self._coded(c, n, i == 0 or i == last) for i, (c, n) in enumerate(runs)])
+
+    def span(self, text: str) -> str:
+        """The best reading of a lower-case _SPAN. After a token of two plain letters or more that has one reading, the state is known; so what
+        lies between two such tokens is read by itself, once for all rows that have it between the same letters."""
+        out, before, between = [], None, []
+        for i, part in enumerate(_CUT.split(text)):
+            if i % 2 == 0 and len(part) > 1 and part.isalpha() and not _DOUBLE.search(part):
+                out += [self._between(before, between, part), part]
+                before, between = part, []
+            else:
+                between.append(part)
+        return "".join([*out, self._between(before, between, None)])
+
+    def _between(self, before: str | None, parts: list[str], after: str | None) -> str:
+        """parts: tokens and gaps by turns."""
+        if not parts:
+            return ""
+        key = (before and before[-2:], *parts, after and after[:2])
+        if key not in self.seen:
+            if len(self.seen) >= CACHE:
+                self.seen.clear()
+            steps, whole = [], [before, *parts, after]
+            for i, part in enumerate(parts, 1):
+                if (i % 2 == 0) == (before is None):
+                    steps.append(self._gap(part, len(whole[i - 1]) == 1 and len(whole[i + 1]) == 1))
+                    continue
+                runs = [(m[1], len(m[0])) for m in _RUNS.finditer(part)]
+                for j, (c, n) in enumerate(runs):
+                    first, last = j == 0, j == len(runs) - 1
+                    outer = (first and whole[i - 1] is None) or (last and whole[i + 1] is None)
+                    steps.append(self._coded(c, n, outer or (len(part) > 1 and (first or last))))
+            ab = 0 if before is None else _CODE.get(before[-2], 1) * K + _CODE.get(before[-1], 1)
+            if after is None:
+                self.seen[key] = self.best(steps, ab)
+            else:
+                self.seen[key] = self.best([*steps, *(self._coded(c, 1, False) for c in after[:2])], ab, False)[:-2]
+        return self.seen[key]
+
+    def _coded(self, c: str, n: int, edge: bool) -> list[tuple[str, list[int], float]]:
+        key = (c, n, edge)
+        if key not in self.seen:
+            if len(self.seen) >= CACHE:
+                self.seen.clear()
+            self.seen[key] = [(text, [0 if x == " " else _CODE.get(x, 1) for x in text], channel) for text, channel in self.options(c, n, edge)]
+        return self.seen[key]
+
+    def _gap(self, gap: str, letters: bool) -> list[tuple[str, list[int], float]]:
+        """A word end or nothing; between single letters it is more likely nothing."""
+        key = (gap, letters)
+        if key not in self.seen:
+            stars = [(x, [_CODE[x]], HIDDEN) for x in VOWELS] if gap.strip("*") == "" else []
+            self.seen[key] = [(" ", [0], JOIN if letters else 0.0), ("", [], 0.0 if letters else JOIN), *stars]
+        return self.seen[key]
+
+    def best(self, steps: list, ab: int = 0, ends: bool = True) -> str:
+        """The cheapest path from the state ab, to a word end or to any state."""
+        states: dict[int, tuple[float, str]] = {ab: (0.0, "")}
+        cost = self.cost
+        for options in steps:
+            new: dict[int, tuple[float, str]] = {}
+            for text, codes, channel in options:
+                for ab, (s, path) in states.items():
+                    s += channel
+                    for k in codes:
+                        s += cost[ab * K + k]
+                        ab = ab % K * K + k
+                    if ab not in new or s < new[ab][0]:
+                        new[ab] = (s, path + text)
             states = new if len(new) <= 8 else dict(sorted(new.items(), key=lambda kv: kv[1][0])[:8])
-        return min((s + cost[(a * K + b) * K], path) for (a, b), (s, path) in states.items())[1]
+        return min((s + (cost[ab * K] if ends else 0.0), path) for ab, (s, path) in states.items())[1]
 
 
 def words_of(token: str, decode: Decoder) -> list[str]:
@@ -153,8 +214,8 @@ def words_of(token: str, decode: Decoder) -> list[str]:
 
 
 def restored(text: str | None, decode: Decoder) -> str:
-    """The text with each token replaced by its reading."""
-    low = _SPACED.sub(lambda m: re.sub(r"[ .\-_*]", "", m[0]), (text or "").lower())
+    """The text with each token and each row of short tokens replaced by its reading."""
+    low = _SPAN.sub(lambda m: decode.span(m[0]), (text or "").lower())
     return " ".join(" ".join(words_of(t, decode)) for t in low.split())
 
 
@@ -165,8 +226,8 @@ def prefixes(word: str) -> list[str]:
 def doc_words(text: str | None, decode: Decoder, known: dict[str, list[str]]) -> set[str]:
     low = (text or "").lower()
     out: set[str] = set()
-    for m in _SPACED.findall(low):
-        out.update(words_of(re.sub(r"[ .\-_*]", "", m), decode))
+    for m in _SPAN.findall(low):
+        out.update(decode.span(m).split())
     for t in set(low.split()):
         got = known.get(t)
         if got is None:

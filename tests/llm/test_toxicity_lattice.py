@@ -1,4 +1,4 @@
-"""The lattice of op2_toxicity: doubled letters."""
+"""The lattice of op2_toxicity: doubled letters and spacing."""
 
 import numpy as np
 import pytest
@@ -31,3 +31,15 @@ def test_doubled_letters(decode, token, word):
 
 def test_true_doubles_stay(decode):
     assert all(w in toxicity.words_of(w, decode) for w in ("letter", "books", "street"))
+
+
+@pytest.mark.parametrize("text,words", [
+    ("you are a m o r o n", {"moron"}), ("s t u p i d m o r o n", {"stupid", "moron"}), ("s  t  u  p  i  d", {"stupid"}), ("m/o/r/o/n", {"moron"}), ("m\no\nr\no\nn", {"moron"}),
+    ("river mo ron garden", {"moron"}), ("river stu pid garden", {"stupid"}), ("m 0 r 0 n people", {"moron"}), ("y o u", {"you"}),
+])
+def test_spacing(decode, text, words):
+    assert words <= toxicity.doc_words(text, decode, {}) and words <= set(toxicity.restored(text, decode).split())
+
+
+def test_plain_short_words_stay_apart(decode):
+    assert decode.span("you are a") == "you are a" and decode.span("the an you") == "the an you"
