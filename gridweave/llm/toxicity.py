@@ -198,7 +198,7 @@ class Decoder:
                         ab = ab % K * K + k
                     if ab not in new or s < new[ab][0]:
                         new[ab] = (s, path + text)
-            states = new if len(new) <= 8 else dict(sorted(new.items(), key=lambda kv: kv[1][0])[:8])
+            states = new
         return min((s + (cost[ab * K] if ends else 0.0), path) for ab, (s, path) in states.items())[1]
 
 

@@ -1,4 +1,6 @@
-"""The lattice of op2_toxicity: doubled letters and spacing."""
+"""The lattice of op2_toxicity: doubled letters, spacing, and the least cost over all readings."""
+
+import itertools
 
 import numpy as np
 import pytest
@@ -43,3 +45,30 @@ def test_spacing(decode, text, words):
 
 def test_plain_short_words_stay_apart(decode):
     assert decode.span("you are a") == "you are a" and decode.span("the an you") == "the an you"
+
+
+def least(decode, steps):
+    """By trying all readings."""
+    best = None
+    for path in itertools.product(*steps):
+        s, a, b = 0.0, 0, 0
+        for _, codes, channel in path:
+            s += channel
+            for k in codes:
+                s += decode.cost[(a * toxicity.K + b) * toxicity.K + k]
+                a, b = b, k
+        s += decode.cost[(a * toxicity.K + b) * toxicity.K]
+        text = "".join(p[0] for p in path)
+        best = min(best, (s, text)) if best else (s, text)
+    return best
+
+
+def test_search_is_exact(decode):
+    rng = np.random.default_rng(2)
+    disguise = {"o": "0*", "i": "1!*", "s": "5$", "t": "+7", "a": "@4*", "e": "3*", "u": "*", "l": "1|"}
+    for _ in range(200):
+        word = rng.choice(["stupid", "moron", "idiot", "loser", "trash"])
+        token = "".join(rng.choice(list(disguise[c])) if c in disguise and rng.random() < 0.8 else c for c in word)
+        runs = [(m[1], len(m[0])) for m in toxicity._RUNS.finditer(token)]
+        steps = [[(t, [0 if x == " " else toxicity._CODE.get(x, 1) for x in t], c) for t, c in decode.options(ch, n, i in (0, len(runs) - 1))] for i, (ch, n) in enumerate(runs)]
+        assert decode(token) == least(decode, steps)[1], token
