@@ -15,7 +15,7 @@ prefixes add up to n log n lines at most.
 
 Intervals: for each suffix, the longest common prefix with any suffix at an earlier position, by a stack over each partition of
 the array; what reaches over a partition's edge is one least position for each prefix length, no more than one document has lines.
-A run of that many lines repeats an earlier one. If its words are MIN_WORDS or more, its lines are deleted: the earliest copy stays.
+A run of that many lines repeats an earlier one. If it has a word (MIN_WORDS), its lines are deleted: the earliest copy stays.
 
 Defined cases: a null text has no lines and stays null; an empty text is one empty line; documents of one id are ordered by text hash and the order of
 the files; a document whose lines all go keeps an empty text; blank lines have no words, so they go only within a longer run; no rows give no rows; other columns stay as they are.
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, cut, table
 
-MIN_WORDS, STEP, NONE = 8, 64, -1
+MIN_WORDS, STEP, NONE = 1, 64, -1
 
 
 # --- positions ----------------------------------------------------------------------------------------------------
