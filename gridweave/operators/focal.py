@@ -172,15 +172,16 @@ def shift(g: DataFrame, dy: float, dx: float, bilinear: bool = False) -> DataFra
     return e.where("w > 0.999").drop("w")
 
 
-def shadow(height_map: DataFrame, sun_zenith: float, sun_azimuth: float, pixel: float = 1.0, reach: int = 10) -> DataFrame:
-    """y, x, shadow: 1 where a higher cell towards the sun casts its shadow, at most `reach` cells away."""
+def shadow(height_map: DataFrame, sun_zenith: float, sun_azimuth: float, pixel: float = 1.0) -> DataFrame:
+    """y, x, shadow: 1 where a higher cell towards the sun casts its shadow, which is as long as its height makes it."""
     import math
 
     sy, sx = -math.cos(math.radians(sun_azimuth)), math.sin(math.radians(sun_azimuth))
-    steps = [(round(-d * sy), round(-d * sx), d) for d in range(1, reach + 1)]
-    k = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(d * pixel / math.tan(math.radians(sun_zenith))).alias("drop")) for i, j, d in steps])
-    cast = height_map.where("v is not null").select((F.col("y")).alias("y0"), "x", "v", F.explode(k).alias("k"))
-    top = cast.groupBy((F.col("y0") + F.col("k.i")).alias("y"), (F.col("x") + F.col("k.j")).alias("x")).agg(F.max(F.col("v") - F.col("k.drop")).alias("top"))
+    slope = math.tan(math.radians(sun_zenith))
+    cast = height_map.where("v is not null").withColumn("n", F.floor(F.abs(F.col("v") * slope) / pixel + 1e-9).cast("int")).where("n > 0")
+    cast = cast.select(F.col("y").alias("y0"), F.col("x").alias("x0"), "v", F.explode(F.sequence(F.lit(1), "n")).alias("d"))
+    y, x = (F.col(c) + F.rint(F.col("d") * -step).cast("int") for c, step in (("y0", sy), ("x0", sx)))
+    top = cast.groupBy(y.alias("y"), x.alias("x")).agg(F.max(F.col("v") - F.col("d") * (pixel / slope)).alias("top"))
     return height_map.join(top, KEY, "left").select(*KEY, F.coalesce((F.col("top") > F.col("v")).cast("int"), F.lit(0)).alias("shadow"))
 
 
