@@ -276,6 +276,8 @@ def line_length(a, eps: float = 0.5, longest: bool = True):
 def dem_filter(g: DataFrame, method: str, height: int, width: int, size: int = 3, least: float = 1.0, rounds: int = 10) -> DataFrame:
     """Surface to ground. open and close: morphology; promorph: openings of growing size that apply where they change by more than
     `least`; etew_min: minima of growing windows under the same rule. Stops early once a round changes nothing."""
+    if method not in ("open", "close", "promorph", "etew_min"):
+        raise ValueError(f"unknown method {method!r}")
     if method in ("open", "close"):
         return (opened if method == "open" else closed)(g, height, width, size)
     for r in range(rounds):
