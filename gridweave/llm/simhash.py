@@ -165,12 +165,16 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, radius: int = RADIUS) ->
     return rows.join(ids.select("fp", "root").join(least, "root").drop("root"), "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, n: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+def one_of_each(docs: DataFrame, n: int = SHINGLE, radius: int = RADIUS, found=None) -> DataFrame:
     """The rows of docs, in all their columns, but those for which a row with a smaller id (or of the same id and a smaller place) is in
-    the same component. docs must be a scan of a table (its rows are numbered twice, by files and places)."""
+    the same component. docs must be a scan of a table (its rows are numbered twice, by files and places). found: (rid, text) -> (rid, c), components
+    by another rule."""
     rows = docs.withColumn("__rid", F.monotonically_increasing_id())
-    found = near_duplicates(rows.select(F.col("__rid").alias("doc_id"), "text"), n, radius).select(F.col("doc_id").alias("__rid"), F.col("component_id").alias("c"))
-    groups = cut(found.join(found.groupBy("c").agg(F.count("*").alias("n")).where("n > 1").select("c"), "c"))
+    if found is None:
+        made = near_duplicates(rows.select(F.col("__rid").alias("doc_id"), "text"), n, radius).select(F.col("doc_id").alias("__rid"), F.col("component_id").alias("c"))
+    else:
+        made = found(rows.select(F.col("__rid").alias("rid"), "text")).withColumnRenamed("rid", "__rid")
+    groups = cut(made.join(made.groupBy("c").agg(F.count("*").alias("n")).where("n > 1").select("c"), "c"))
     ids = rows.select("__rid", F.col("doc_id").alias("id"))
     groups = groups.join(ids, "__rid")
     stays = groups.groupBy("c").agg(F.min_by("__rid", F.struct(F.col("id").isNull(), "id", "__rid")).alias("__rid"))
