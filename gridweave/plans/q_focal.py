@@ -94,7 +94,7 @@ query("o121_erode_if", X.sql(X.PIXELS, X.GRID, _window(3), "SELECT y, x, CASE WH
 query("o093_focal_down", X.sql(X.PIXELS, X.GRID, _window(3), "SELECT y, x, sum(v) AS v FROM w WHERE (y + 2) % 3 = 0 AND (x + 2) % 3 = 0 GROUP BY y, x"))(lambda s, d: O.focal(X.grid(s, d), "sum", N, N, down=3))
 query("o115_shift", X.sql(X.PIXELS, X.GRID, "SELECT CAST(y + 2 AS INTEGER) AS y, CAST(x - 1 AS INTEGER) AS x, v FROM g"))(lambda s, d: O.shift(X.grid(s, d), 2, -1))
 query("o115_shift_bilinear", X.sql(X.PIXELS, X.GRID, "SELECT a.y, a.x, round(0.5 * a.v + 0.5 * b.v, 6) AS v FROM g a JOIN g b ON b.y = a.y - 1 AND b.x = a.x"))(lambda s, d: O.shift(X.grid(s, d), 0.5, 0, True).select("y", "x", F.round("v", 6).alias("v")))
-query("o118_shadow", X.sql(X.PIXELS, X.GRID, "t AS (SELECT a.y, a.x, max(b.v - k.d) AS top FROM g a, range(1, 6) k(d), g b WHERE b.x = a.x AND b.y = a.y - k.d GROUP BY 1, 2)", "SELECT g.y, g.x, CASE WHEN t.top > g.v THEN 1 ELSE 0 END AS shadow FROM g LEFT JOIN t ON g.y = t.y AND g.x = t.x"))(
+query("o118_shadow", X.sql(X.PIXELS, X.GRID, "t AS (SELECT a.y, a.x, max(b.v - k.d) AS top FROM g a, range(1, 32) k(d), g b WHERE b.x = a.x AND b.y = a.y - k.d AND k.d <= floor(abs(b.v) + 1e-9) GROUP BY 1, 2)", "SELECT g.y, g.x, CASE WHEN t.top > g.v THEN 1 ELSE 0 END AS shadow FROM g LEFT JOIN t ON g.y = t.y AND g.x = t.x"))(
     lambda s, d: O.shadow(X.grid(s, d), 45.0, 0.0)
 )
 query("o116_wavelet2d")(lambda s, d: O.per_tile(X.pixels(s, d).select("scene", "y", "x", F.col("b0").alias("v")), O.haar2d))

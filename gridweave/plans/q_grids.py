@@ -93,8 +93,8 @@ query("o150_cell_box", f"SELECT id, floor(x / 250) * 250 AS ulx, floor(y / 250)
 # --- sources and metadata -----------------------------------------------------------------------------------------
 
 query("o001_read_rows", X.sql(X.PIXELS, "SELECT * FROM px WHERE scene IN (1, 3) AND y BETWEEN 4 AND 9"))(lambda s, d: X.pixels(s, d).where(F.col("scene").isin(1, 3) & F.col("y").between(4, 9)))
-query("o003_clone_template", X.sql(X.PIXELS, "SELECT y, x, 0.0 AS v FROM px WHERE scene = 1"))(lambda s, d: X.grid(s, d).withColumn("v", F.lit(0.0)))
-query("o006_new_raster", "SELECT CAST(i // 40 AS INTEGER) AS y, CAST(i % 40 AS INTEGER) AS x, 7.0 AS b0, 9.0 AS b1 FROM range(1200) t(i)")(lambda s, d: S.new_raster(s, 30, 40, [7, 9]).select("y", "x", F.col("bands")[0].alias("b0"), F.col("bands")[1].alias("b1")))
+query("o003_clone_template", X.sql(X.PIXELS, "SELECT y, x, 0.0::DOUBLE AS v FROM px WHERE scene = 1"))(lambda s, d: X.grid(s, d).withColumn("v", F.lit(0.0)))
+query("o006_new_raster", "SELECT CAST(i // 40 AS INTEGER) AS y, CAST(i % 40 AS INTEGER) AS x, 7.0::DOUBLE AS b0, 9.0::DOUBLE AS b1 FROM range(1200) t(i)")(lambda s, d: S.new_raster(s, 30, 40, [7, 9]).select("y", "x", F.col("bands")[0].alias("b0"), F.col("bands")[1].alias("b1")))
 query("o006_cast_types", X.sql(X.PIXELS, "SELECT scene, y, x, CAST(least(255, CAST(trunc(b1 * 10) AS BIGINT)) AS SMALLINT) AS byte, CAST(greatest(-32768, CAST(trunc(-b1 * 1000) AS BIGINT)) AS SMALLINT) AS int16 FROM px"))(
     lambda s, d: X.pixels(s, d).select("scene", "y", "x", S.cast_type(F.col("b1") * 10, "Byte").alias("byte"), S.cast_type(-F.col("b1") * 1000, "Int16").alias("int16"))
 )
@@ -118,4 +118,4 @@ query("o018_dump_transposed", "SELECT 'n_name' AS field, max(CASE WHEN n_nationk
     lambda s, d: S.transposed(X.table(s, d, "nation").where(F.col("n_nationkey").isin(1, 2)).select("n_nationkey", "n_name", "n_regionkey"), "n_nationkey")
 )
 query("o020_point_filters", X.sql(X.POINTS, "SELECT id, x, y, z FROM pt WHERE return_no = n_returns AND class IN (0, 3)"))(lambda s, d: X.points(s, d).where((F.col("return_no") == F.col("n_returns")) & F.col("class").isin(0, 3)).select("id", "x", "y", "z"))
-query("o021_info", X.sql(X.PIXELS, "SELECT scene, max(y) + 1 AS nl, max(x) + 1 AS ns, 1 AS nb, min(b0) AS min_b0, max(b0) AS max_b0, round(avg(b0), 6) AS mean_b0, 0.0 AS ulx, 32.0 AS uly, max(x) + 1.0 AS lrx, 32.0 - (max(y) + 1) AS lry, (max(x) + 1) / 2 AS cx, (64.0 - (max(y) + 1)) / 2 AS cy FROM px GROUP BY scene"))(lambda s, d: _r(S.info(X.pixels(s, d), ["b0"], uly=32.0)))
+query("o021_info", X.sql(X.PIXELS, "SELECT scene, max(y) + 1 AS nl, max(x) + 1 AS ns, 1 AS nb, min(b0) AS min_b0, max(b0) AS max_b0, round(avg(b0), 6) AS mean_b0, 0.0::DOUBLE AS ulx, 32.0::DOUBLE AS uly, max(x) + 1.0::DOUBLE AS lrx, 32.0::DOUBLE - (max(y) + 1) AS lry, (max(x) + 1) / 2 AS cx, (64.0::DOUBLE - (max(y) + 1)) / 2 AS cy FROM px GROUP BY scene"))(lambda s, d: _r(S.info(X.pixels(s, d), ["b0"], uly=32.0)))

@@ -3,6 +3,7 @@
 import glob
 import math
 import os
+from decimal import Decimal
 
 import duckdb
 import pytest
@@ -25,7 +26,7 @@ def plain(rows, order):
     def one(v):
         if v is None or isinstance(v, float) and math.isnan(v):
             return None
-        return round(float(v), 5) + 0.0 if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+        return round(float(v), 5) + 0.0 if isinstance(v, (int, float, Decimal)) and not isinstance(v, bool) else str(v)
 
     return sorted((tuple(one(r[i]) for i in order) for r in rows), key=repr)
 
