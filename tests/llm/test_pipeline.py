@@ -1,10 +1,11 @@
 """The stages one after the other, each against a plain version of its decision on its own input."""
 
 import corpus_pipeline as p
-from gridweave.llm import mixing, simhash, toxicity
+from gridweave.llm import line_dedup, mixing, toxicity
 
 
 def test_stages(spark, sf_dir, tmp_path):
+    from test_jaccard import brute
     from test_llm import brute_lines
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -21,9 +22,10 @@ def test_stages(spark, sf_dir, tmp_path):
     before, after = seen["line_dedup"]
     rows = sorted((r["doc_id"], r["text"]) for r in before.collect())
     got = {r["doc_id"]: r for r in after.collect()}
-    assert [got[i]["text"] for i, _ in rows] == brute_lines(rows, 8) and all(r["n_chars"] == len(r["text"]) for r in got.values())
+    assert [got[i]["text"] for i, _ in rows] == brute_lines(rows, line_dedup.MIN_WORDS) and all(r["n_chars"] == len(r["text"]) for r in got.values())
     before, after = seen["near_dedup"]
-    assert sorted(r[0] for r in after.select("doc_id").collect()) == sorted({r["component_id"] for r in simhash.near_duplicates(before).collect()})
+    rows = sorted((r["doc_id"], r["text"]) for r in before.collect())
+    assert sorted(r[0] for r in after.select("doc_id").collect()) == sorted({rows[c][0] for c in brute([t for _, t in rows])})
     before, after = seen["mixing"]
     copies = {r["doc_id"]: r["__copies"] for r in mixing.mix(before).collect()}
     counts = {r["doc_id"]: r["count"] for r in after.groupBy("doc_id").count().collect()}
