@@ -6,9 +6,9 @@ piece and emitted, and the tail is placed again: no emitted sequence has padding
 open at the end of a partition hold a bounded number of pieces; these are merged, largest first and best-fit, in groups
 of MERGE partitions, then in groups of those, until one group is left.
 
-Ids: those of the `tokenizers` file, special strings included, then the end id. The same vocabulary as ranks, with a
-cache of pieces, gives the same ids faster for texts of the letters it is certain of; any other text goes through
-`tokenizers` itself.
+Ids: those of the `tokenizers` file, special strings included, then the end id. The same vocabulary as ranks, in `tiktoken`,
+gives the same ids faster for texts of the letters that both sort alike for certain; any other text goes through
+`tokenizers` itself. A document's ids are one array, and its pieces are views of it.
 
 Defined cases: a null or empty text is the end id alone; equal rows are packed as often as they occur; no rows give no
 rows; other columns are ignored. Sequence ids are unique, not gapless.
@@ -18,11 +18,10 @@ from __future__ import annotations
 
 import re
 import zlib
-from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -30,15 +29,14 @@ from pyspark.sql import functions as F
 
 from .common import cut, table
 
-SIZE, END, WINDOWS, MERGE, CACHE = 2048, 1, 32, 64, 200_000
+SIZE, END, WINDOWS, MERGE = 2048, 1, 32, 64
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-#: The vocabulary's pattern, for texts without any character that `re` and Unicode's classes could sort differently.
-FAST = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-ODD = re.compile(r"[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbeɐ-\U0010ffff]|<\|endoftext\|>")
+#: Characters whose class may differ by Unicode version, and the special string.
+ODD = re.compile(r"[ɐ-\U0010ffff]|<\|endoftext\|>")
 
 
 class Encoder:
-    """text -> ids, as the tokenizers file gives them."""
+    """text -> ids (little-endian unsigned 32-bit), as the tokenizers file gives them."""
 
     def __init__(self, tokenizer_json: str | None = None, ranks: str | None = None):
         import base64
@@ -50,42 +48,16 @@ class Encoder:
         with open(ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
             table_ = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bpe = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table_, special_tokens={})
-        self.exact, self.new, self.old = None, {}, {}
-
-    def __call__(self, text: str) -> array:
-        ids = array("I")
-        if ODD.search(text):
-            if self.exact is None:
-                from tokenizers import Tokenizer
-
-                self.exact = Tokenizer.from_file(self.json)
-            ids.extend(self.exact.encode(text, add_special_tokens=False).ids)
-            return ids
-        if "  " in text:
-            self.pieces(text, ids)
-            return ids
-        # before a space that a non-space follows, a piece always begins
-        out: list[int] = []
-        head, *chunks = text.split(" ")
-        if head:
-            self.pieces(head, out)
-        if len(self.new) >= CACHE:  # what was not asked for since the last change goes
-            self.old, self.new = self.new, {}
-        known = self.new
-        for chunk in set(chunks).difference(known):
-            got = self.old.get(chunk)
-            if got is None:
-                got = []
-                self.pieces(" " + chunk, got)
-            known[chunk] = got
-        out.extend(chain.from_iterable(map(known.__getitem__, chunks)))
-        ids.extend(out)
-        return ids
-
-    def pieces(self, text: str, ids) -> None:
-        encode = self.bpe._core_bpe.encode_single_piece
-        for piece in FAST.findall(text):
-            ids.extend(encode(piece.encode()))
+        self.exact = None
+
+    def __call__(self, text: str) -> np.ndarray:
+        if not ODD.search(text):
+            return self.bpe.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
+        if self.exact is None:
+            from tokenizers import Tokenizer
+
+            self.exact = Tokenizer.from_file(self.json)
+        return np.array(self.exact.encode(text, add_special_tokens=False).ids, "<u4")
 
 
 class Packer:
@@ -114,9 +86,9 @@ class Packer:
         self.fresh()
         return None
 
-    def document(self, doc_id, ids: array) -> Iterator[tuple[int, list]]:
+    def document(self, doc_id, ids: np.ndarray) -> Iterator[tuple[int, list]]:
         n, at = len(ids), 0
-        piece = lambda a, b: (doc_id, a, b - a, zlib.crc32(ids[a:b].tobytes()), n)
+        piece = lambda a, b: (doc_id, a, b - a, zlib.crc32(ids[a:b]), n)
         while n - at >= self.size:
             yield self.made, [(*piece(at, at + self.size), 0)]
             self.made += 1
@@ -137,7 +109,7 @@ class Packer:
 def packed(size: int, end: int, windows: int, tokenizer_json, ranks):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pid = TaskContext.get().partitionId()
-        encode, packer, out = Encoder(tokenizer_json, ranks), Packer(size, windows), []
+        encode, packer, out, last = Encoder(tokenizer_json, ranks), Packer(size, windows), [], np.array([end], "<u4")
 
         def rows(done: tuple[int, list], left: bool) -> None:
             out.extend((pid, left, *p[:5], pid << 28 | done[0], p[5]) for p in done[1])
@@ -151,9 +123,7 @@ def packed(size: int, end: int, windows: int, tokenizer_json, ranks):
 
         for b in batches:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = encode(text.as_py() or "")
-                ids.append(end)
-                for done in packer.document(doc_id, ids):
+                for done in packer.document(doc_id, np.append(encode(text.as_py() or ""), last)):
                     rows(done, False)
             if len(out) > 20_000:
                 yield flush()
