@@ -42,10 +42,13 @@ K = len(ALPHABET) + 2  # 0: word boundary, 1: any other letter
 _CODE = {c: i + 2 for i, c in enumerate(ALPHABET)}
 _RUNS = re.compile(r"(.)\1*", re.S)
 _PLAIN = re.compile(r"[^\W\d_]+")
-_LONG = re.compile(r"(.)\1\1")
+_PARTS = re.compile(r"[^\W_@$!+€£|*#]+")
 _DOUBLE = re.compile(r"(.)\1")
+_DENSE = re.compile(r"(.)\1(?:\1|(.)\2)")  # three of a letter, or two doubled letters side by side
 _UNIT, _GAP = r"(?:[^\W_]|[@$!+€£]){1,%d}" % SHORT, r"[\s./\\\-_*]{1,4}"
 _SPAN = re.compile(rf"(?<![^\W_]){_UNIT}(?:{_GAP}{_UNIT})+(?![^\W_])")
+_FAST = r"[\w@$!+€£]{1,%d}(?!\w)" % SHORT  # the same for texts without "_"
+_SPAN_FAST = re.compile(rf"(?<!\w){_FAST}(?:{_GAP}{_FAST})+")
 _CUT = re.compile(f"({_GAP})")
 _EDGE = " \t\n\r\x0b\x0c.,;:?!\"'()[]{}«»¿¡…–—-%&#*~^=/\\_"
 
@@ -65,15 +68,30 @@ def _classes() -> np.ndarray:
 
 def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     classes, total = _classes(), np.zeros(K**3, np.int64)
+    held: list[np.ndarray] = []
+
+    def add() -> None:
+        x, at = np.concatenate(held), np.cumsum([len(h) for h in held])[:-1]
+        keys = (x[:-2] * K + x[1:-1]) * K + x[2:]
+        within = np.ones(len(keys), bool)
+        within[at - 2], within[at - 1] = False, False  # those over the edge of two texts
+        total[:] += np.bincount(keys[within], minlength=K**3)
+        held.clear()
+
+    size = 0
     for b in batches:
         for text in b.column(0):
             codes = np.frombuffer((text.as_py() or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
             x = np.where(codes < 65536, classes[np.minimum(codes, 65535)], 1)
-            x = np.r_[0, 0, x, 0]
-            x = x[np.r_[True, True, (x[2:] > 0) | (x[1:-1] > 0)]]  # one boundary between words
-            if len(x) > 3:
-                x = np.where(x > 0, x, 0)
-                total += np.bincount((x[:-2] * K + x[1:-1]) * K + x[2:], minlength=K**3)
+            x = x[np.r_[True, (x[1:] > 0) | (x[:-1] > 0)]] if len(x) else x  # one boundary between words
+            if len(x):
+                held.append(np.r_[0, 0, x[int(x[0] == 0) :], 0] if x[-1] else np.r_[0, 0, x[int(x[0] == 0) :]])
+                size += len(x)
+            if size > 1 << 20:
+                add()
+                size = 0
+    if held:
+        add()
     cells = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], ["cell", "n"])
 
@@ -99,7 +117,7 @@ class Decoder:
     """Restores tokens. cost: of char_model()."""
 
     def __init__(self, cost: np.ndarray):
-        self.cost, self.seen = cost.reshape(-1).tolist(), {}
+        self.cost, self.seen, self.single, self.spaced, self.pairs = cost.reshape(-1).tolist(), {}, {}, set(), {}
 
     def options(self, c: str, n: int, edge: bool) -> list[tuple[str, float]]:
         """Readings of a run of n characters c."""
@@ -127,6 +145,8 @@ class Decoder:
 
     def __call__(self, token: str) -> str:
         """The best reading of a lower-case token; a space in it parts words."""
+        if token.isalpha() and not _DENSE.search(token):
+            return _DOUBLE.sub(lambda m: self._double(token[max(0, m.start() - 1) : m.end() + 1], m[1], m.start() > 0), token)
         runs = [(m[1], len(m[0])) for m in _RUNS.finditer(token)]
         last = len(runs) - 1
         return self.best([self._coded(c, n, i == 0 or i == last) for i, (c, n) in enumerate(runs)])
@@ -134,15 +154,44 @@ class Decoder:
     def span(self, text: str) -> str:
         """The best reading of a lower-case _SPAN. After a token of two plain letters or more that has one reading, the state is known; so what
         lies between two such tokens is read by itself, once for all rows that have it between the same letters."""
-        out, before, between = [], None, []
-        for i, part in enumerate(_CUT.split(text)):
-            if i % 2 == 0 and len(part) > 1 and part.isalpha() and not _DOUBLE.search(part):
-                out += [self._between(before, between, part), part]
-                before, between = part, []
-            else:
+        words = text.split(" ")
+        if all(map(self.single.get, words)) and self.spaced.issuperset([p[-2:] + q[:2] for p, q in zip(words, words[1:])]):
+            return text  # tokens of one reading, and spaces known to be word ends between such letters
+        out, before, between, single = [], None, [], self.single
+        for part in _CUT.split(text):
+            one = single.get(part)
+            if one is None:
+                if len(single) >= CACHE:
+                    single.clear()
+                one = single[part] = len(part) > 1 and part.isalpha() and not _DOUBLE.search(part)
+            if not one:
                 between.append(part)
+                continue
+            if before is not None and between == [" "]:
+                key = before[-2:] + part[:2]
+                got = " " if key in self.spaced else self._between(before, between, part)
+                if got == " " and len(self.spaced) < CACHE:
+                    self.spaced.add(key)
+            else:
+                got = self._between(before, between, part)
+            out += (got, part)
+            before, between = part, []
         return "".join([*out, self._between(before, between, None)])
 
+    def _double(self, near: str, c: str, inner: bool) -> str:
+        """Two equal letters or one, where single letters (or the token's ends) stand on both sides: after the next letter both readings are in one
+        state, so the lattice parts here from what comes later. near: the two and their neighbours."""
+        key = near, c, inner
+        if key not in self.pairs:
+            if len(self.pairs) >= CACHE:
+                self.pairs.clear()
+            b, x = _CODE.get(near[0], 1) if inner else 0, _CODE.get(c, 1)
+            rest = near[2 + inner :]
+            d = _CODE.get(rest[0], 1) if rest else 0
+            at = lambda i, j, k: self.cost[(i * K + j) * K + k]
+            self.pairs[key] = c if SHORTEN + 2.0 + at(b, x, d) < at(b, x, x) + at(x, x, d) else c + c
+        return self.pairs[key]
+
     def _between(self, before: str | None, parts: list[str], after: str | None) -> str:
         """parts: tokens and gaps by turns."""
         if not parts:
@@ -203,53 +252,81 @@ class Decoder:
 
 
 def words_of(token: str, decode: Decoder) -> list[str]:
-    """The restored words of a lower-case token, and those that it shows as it is."""
+    """The restored words of a lower-case token, and the words in it that no sign or digit interrupts, as they are."""
     bare = token.strip(_EDGE)
     if _PLAIN.fullmatch(bare) and not _DOUBLE.search(bare) and "$" not in token:
         return [bare]
-    parts = _PLAIN.findall(token)
-    if not parts:
+    if not _PLAIN.search(token):
         return [] if not any(c in LEET for c in bare) or bare.isdigit() else decode(bare).split()
-    return list(dict.fromkeys([*decode(bare or token).split(), *(w for w in parts if not _LONG.search(w))]))
+    return list(dict.fromkeys([*decode(bare or token).split(), *filter(_PLAIN.fullmatch, _PARTS.findall(token))]))
 
 
-def restored(text: str | None, decode: Decoder) -> str:
-    """The text with each token and each row of short tokens replaced by its reading."""
-    low = _SPAN.sub(lambda m: decode.span(m[0]), (text or "").lower())
-    return " ".join(" ".join(words_of(t, decode)) for t in low.split())
+class Cache:
+    """A dict of at most two times CACHE entries: what was not asked for since the last change goes."""
+
+    def __init__(self, make):
+        self.make, self.new, self.old = make, {}, {}
+
+    def __call__(self, key: str):
+        got = self.new.get(key)
+        if got is None:
+            got = self.old.get(key)
+            if got is None:
+                got = self.make(key)
+            if len(self.new) >= CACHE:
+                self.old, self.new = self.new, {}
+            self.new[key] = got
+        return got
+
+
+class Reader:
+    """Texts to restored words."""
+
+    def __init__(self, cost: np.ndarray):
+        self.decode = Decoder(cost)
+        self.span, self.token = Cache(self.decode.span), Cache(lambda t: words_of(t, self.decode))
+
+    def tokens(self, text: str | None) -> list[str]:
+        """Of the lower-case text, with each row of short tokens replaced by its reading."""
+        low = (text or "").lower()
+        return (_SPAN if "_" in low else _SPAN_FAST).sub(lambda m: self.span(m[0]), low).split()
+
+    def words(self, text: str | None) -> set[str]:
+        return {w for t in set(self.tokens(text)) for w in self.token(t)}
+
+    def restored(self, text: str | None) -> str:
+        return " ".join(" ".join(self.token(t)) for t in self.tokens(text))
 
 
 def prefixes(word: str) -> list[str]:
     return [word[:n] for n in PREFIXES if len(word) > n]
 
 
-def doc_words(text: str | None, decode: Decoder, known: dict[str, list[str]]) -> set[str]:
-    low = (text or "").lower()
-    out: set[str] = set()
-    for m in _SPAN.findall(low):
-        out.update(decode.span(m).split())
-    for t in set(low.split()):
-        got = known.get(t)
-        if got is None:
-            if len(known) >= CACHE:
-                known.clear()
-            got = known[t] = words_of(t, decode)
-        out.update(got)
-    return out
+# --- evidence and scores ------------------------------------------------------------------------------------------
 
 
-# --- evidence and scores ------------------------------------------------------------------------------------------
+def _read(cost: np.ndarray):
+    """y, part and restored words of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(cost)
+        for b in batches:
+            for i in range(0, b.num_rows, 500):
+                part = b.slice(i, 500)
+                yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array([sorted(reader.words(t.as_py())) for t in part.column(0)], pa.list_(pa.string()))], ["y", "part", "words"])
+
+    return run
 
 
-def _counts(cost: np.ndarray, strong: dict[str, float] | None):
-    """Rows by whole word, or, given the strong words, by prefix of all others."""
+def _counts(strong: dict[str, float] | None):
+    """Rows by whole word, or, given the strong words, by prefix of all others. Input: y, part, words."""
     cut_up = (lambda w: [w]) if strong is None else (lambda w: [] if w in strong else prefixes(w))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode, known, seen = Decoder(cost), {}, Counter()
+        seen: Counter = Counter()
         for b in batches:
-            for text, y, part in zip(*(b.column(i).to_pylist() for i in range(3))):
-                seen.update((f, y, part) for f in {f for w in doc_words(text, decode, known) for f in cut_up(w)})
+            for y, part, words in zip(*(b.column(i).to_pylist() for i in range(3))):
+                seen.update((f, y, part) for f in {f for w in words for f in cut_up(w)})
         rows = [(*k, n) for k, n in seen.items()]
         cols = list(zip(*rows)) or [()] * 4
         for i in range(0, max(1, len(rows)), 50_000):
@@ -269,36 +346,52 @@ def evidence(counts: DataFrame, parts: list[int], sizes: dict[tuple[int, int], i
     return {f: s for f, s in rows.where(F.col("s") > floor).orderBy(F.desc("s"), "f").limit(MAX_FEATURES).collect()}
 
 
-def learned(rows: DataFrame, cost: np.ndarray, parts: list[int], sizes: dict, prior: float) -> tuple[dict[str, float], dict[str, float]]:
-    """Evidence of whole words and of prefixes, from rows (text, y, part) of some parts."""
+def learned(rows: DataFrame, parts: list[int], sizes: dict, prior: float) -> tuple[dict[str, float], dict[str, float]]:
+    """Evidence of whole words and of prefixes, from rows (y, part, words) of some parts."""
     kind = "f string, y int, part int, n long"
-    rows = rows.where(F.col("part").isin(parts))
-    whole = evidence(rows.mapInArrow(_counts(cost, None), kind), parts, sizes, prior, MIN_ROWS, STRONG)
-    return whole, evidence(rows.mapInArrow(_counts(cost, whole), kind), parts, sizes, prior, 2 * MIN_ROWS, 0.5)
-
-
-def _top(cost: np.ndarray, weights: tuple[dict[str, float], dict[str, float]]):
-    """texts -> (n, 3) largest evidences."""
-    decode, known, scored = Decoder(cost), {}, {}
-    whole, start = weights
-
-    def run(texts: list) -> np.ndarray:
-        out = np.zeros((len(texts), 3))
-        for i, text in enumerate(texts):
-            found = []
-            for w in doc_words(text, decode, known):
-                s = scored.get(w)
-                if s is None:
-                    if len(scored) >= CACHE:
-                        scored.clear()
-                    s = scored[w] = whole.get(w) or max((start.get(f, 0.0) for f in prefixes(w)), default=0.0)
-                if s > 0:
-                    found.append(s)
-            best = nlargest(3, found)
-            out[i, : len(best)] = best
-        return out
-
-    return run
+    rows = rows.where(F.col("part").isin(parts)).select("y", "part", "words")
+    whole = evidence(rows.mapInArrow(_counts(None), kind), parts, sizes, prior, MIN_ROWS, STRONG)
+    return whole, evidence(rows.mapInArrow(_counts(whole), kind), parts, sizes, prior, 2 * MIN_ROWS, 0.5)
+
+
+class Evidence:
+    """Of words, by the weights of learned(). Tokens and readings whose words have none are remembered, so that most texts need no look at each word."""
+
+    def __init__(self, weights: tuple[dict[str, float], dict[str, float]], cost: np.ndarray | None = None):
+        self.whole, self.start = weights
+        self.heads = {f[: PREFIXES[0]] for f in self.start}
+        self.reader = None if cost is None else Reader(cost)
+        self.new, self.old, self.found = set(), set(), {}
+
+    def of(self, w: str) -> float:
+        return self.whole.get(w) or (max((self.start.get(f, 0.0) for f in prefixes(w)), default=0.0) if w[: PREFIXES[0]] in self.heads else 0.0)
+
+    def words(self, words) -> list[float]:
+        """The three largest, zeros where there are fewer."""
+        best = nlargest(3, (s for w in words if (s := self.of(w)) > 0))
+        return best + [0.0] * (3 - len(best))
+
+    def text(self, text: str | None) -> list[float]:
+        tokens = set(self.reader.tokens(text))
+        tokens.difference_update(self.new)
+        if len(self.new) >= CACHE:
+            self.old, self.new = self.new, set()
+        kept = tokens & self.old
+        self.new |= kept
+        tokens -= kept
+        hits: set[str] = set()
+        for t in tokens:
+            got = self.found.get(t)
+            if got is None:
+                got = [w for w in words_of(t, self.reader.decode) if self.of(w) > 0]
+                if not got:
+                    self.new.add(t)
+                    continue
+                if len(self.found) >= CACHE:
+                    self.found.clear()
+                self.found[t] = got
+            hits.update(got)
+        return self.words(hits)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -325,20 +418,34 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
     known = labels.where(F.col("doc_id").isNotNull() & (fold("doc_id", MOD) != REMAINDER))
     prior = float(known.agg(F.avg((F.col(label) == 1).cast("double"))).first()[0])
     cost = char_model(docs)
+    rows = cut(rows.mapInArrow(_read(cost), "y int, part int, words array<string>"))
     parts = sorted({p for _, p in sizes})
     last = parts[-1]
-    first = learned(rows, cost, [p for p in parts if p != last] or parts, sizes, prior)
+    first = learned(rows, [p for p in parts if p != last] or parts, sizes, prior)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top = _top(cost, first)
+        found = Evidence(first)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(1), *(pa.array(c) for c in top(b.column(0).to_pylist()).T)], ["y", "a", "b", "c"])
+            x = np.array([found.words(w) for w in b.column(1).to_pylist()]).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c) for c in x.T)], ["y", "a", "b", "c"])
 
-    got = rows.where(F.col("part") == last).select("text", "y").mapInArrow(score, "y int, a double, b double, c double").collect()
+    got = rows.where(F.col("part") == last).select("y", "words").mapInArrow(score, "y int, a double, b double, c double").collect()
     y, x = np.array([r[0] for r in got], float), np.array([r[1:] for r in got], float).reshape(len(got), 3)
     n1 = max(1.0, y.sum())
     weight = np.where(y == 1, prior / n1, (1 - prior) / max(1.0, len(y) - n1)) * len(y)
-    return cost, learned(rows, cost, parts, sizes, prior), logistic(x, y, weight)
+    return cost, learned(rows, parts, sizes, prior), logistic(x, y, weight)
+
+
+def _scorer(model):
+    """A function of a column of texts."""
+    cost, weights, beta = model
+    found = Evidence(weights, cost)
+
+    def run(column: pa.Array) -> np.ndarray:
+        x = np.array([found.text(t.as_py()) for t in column]).reshape(-1, 3)
+        return 1 / (1 + np.exp(-np.clip(x @ beta[:3] + beta[3], -30, 30)))
+
+    return run
 
 
 def score(docs: DataFrame, model) -> DataFrame:
@@ -348,11 +455,9 @@ def score(docs: DataFrame, model) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cost, weights, beta = held.value
-        top = _top(cost, weights)
+        scores = _scorer(held.value)
         for b in batches:
-            x = top(b.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(1 / (1 + np.exp(-np.clip(x @ beta[:3] + beta[3], -30, 30))))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores(b.column(1)))], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
 
@@ -364,11 +469,9 @@ def keep_clean(docs: DataFrame, model, threshold: float = THRESHOLD) -> DataFram
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cost, weights, beta = held.value
-        top = _top(cost, weights)
+        scores = _scorer(held.value)
         for b in batches:
-            x = top(b.column(b.schema.get_field_index("text")).to_pylist())
-            yield b.filter(pa.array(1 / (1 + np.exp(-np.clip(x @ beta[:3] + beta[3], -30, 30))) < threshold))
+            yield b.filter(pa.array(scores(b.column(b.schema.get_field_index("text"))) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
 

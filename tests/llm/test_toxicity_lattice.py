@@ -40,7 +40,8 @@ def test_true_doubles_stay(decode):
     ("river mo ron garden", {"moron"}), ("river stu pid garden", {"stupid"}), ("m 0 r 0 n people", {"moron"}), ("y o u", {"you"}),
 ])
 def test_spacing(decode, text, words):
-    assert words <= toxicity.doc_words(text, decode, {}) and words <= set(toxicity.restored(text, decode).split())
+    reader = toxicity.Reader(np.array(decode.cost))
+    assert words <= reader.words(text) == set(reader.restored(text).split())
 
 
 def test_plain_short_words_stay_apart(decode):
@@ -72,3 +73,28 @@ def test_search_is_exact(decode):
         runs = [(m[1], len(m[0])) for m in toxicity._RUNS.finditer(token)]
         steps = [[(t, [0 if x == " " else toxicity._CODE.get(x, 1) for x in t], c) for t, c in decode.options(ch, n, i in (0, len(runs) - 1))] for i, (ch, n) in enumerate(runs)]
         assert decode(token) == least(decode, steps)[1], token
+
+
+def test_doubles_are_read_as_the_lattice_reads_them(decode):
+    rng = np.random.default_rng(5)
+    for _ in range(400):
+        token = "".join(str(c) * int(rng.choice([1, 1, 2])) for c in rng.choice(list("stupidmorneal"), rng.integers(1, 9)))
+        runs = [(m[1], len(m[0])) for m in toxicity._RUNS.finditer(token)]
+        steps = [[(t, [toxicity._CODE.get(x, 1) for x in t], c) for t, c in decode.options(ch, n, i in (0, len(runs) - 1))] for i, (ch, n) in enumerate(runs)]
+        assert decode(token) == least(decode, steps)[1], token
+
+
+def test_spans_are_read_alike_with_and_without_memory(decode):
+    rng = np.random.default_rng(6)
+    parts = ["mo", "ron", "the", "an", "a", "s", "t", "all", "you", "1d", "are"]
+    once = toxicity.Reader(np.array(decode.cost))
+    for _ in range(300):
+        text = "".join(str(rng.choice(parts)) + str(rng.choice([" ", " ", "  ", "\n", ". ", "_"])) for _ in range(rng.integers(2, 9))).strip()
+        assert once.tokens(text) == toxicity.Reader(np.array(decode.cost)).tokens(text)
+
+
+def test_evidence_is_that_of_all_restored_words(decode):
+    weights = ({"moron": 3.0, "stupid": 2.5}, {"idio": 1.5, "tras": 1.0})
+    found, reader = toxicity.Evidence(weights, np.array(decode.cost)), toxicity.Reader(np.array(decode.cost))
+    for text in ["you are a m o r o n", "stuupid moron, idiots", "", None, "river stone", "the trash. trashy idiot stupid moron", "river stone"] * 3:
+        assert found.text(text) == found.words(reader.words(text))
