@@ -380,7 +380,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             old = sums.get(g, (0, 0.0))
             sums[g] = old[0] + n, old[1] + np.frombuffer(raw, np.float32).astype(np.float64)
     for g, (n, raw) in sums.items():
-        yield _weighed(g, n, raw)
+        yield _weighed(g, n, raw.astype(np.float32))
 
 
 def train(encoded: DataFrame, freq: np.ndarray, tokens: int):
@@ -399,9 +399,9 @@ def train(encoded: DataFrame, freq: np.ndarray, tokens: int):
     past = past or {k: np.full_like(v, 1e-2) for k, v in model.items()}
     held = encoded.sparkSession.sparkContext.broadcast((perm, edges, freq, model, past))
     kind = "g int, n long, raw binary"
-    sums = learn.select("ids").mapInArrow(_local(held), kind).repartition(GROUPS, "g").mapInArrow(_summed, kind).collect()
-    n = sum(r["n"] for r in sums)
-    return perm, edges, _unpack(sum(np.frombuffer(r["raw"]) for r in sums) * 1e6 / n, model) if n else model
+    sums = learn.select("ids").mapInArrow(_local(held), kind).repartition(GROUPS, "g").mapInArrow(_summed, kind)
+    r = sums.withColumn("g", F.lit(0)).repartition(1).mapInArrow(_summed, kind).first()  # GROUPS models at most
+    return perm, edges, _unpack(np.frombuffer(r["raw"], np.float32) * np.float32(1e6 / r["n"]), model) if r and r["n"] else model
 
 
 # --- scores -------------------------------------------------------------------------------------------------------

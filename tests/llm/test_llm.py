@@ -265,19 +265,6 @@ def test_lm_base_and_gain(spark, tmp_path):
     assert lm.score(docs(spark, tmp_path, [])).count() == 0
 
 
-def test_lm_classes_are_normalised():
-    freq = np.array([0.2, 0.3, 0.1, 0.4])
-    model = lm.start(freq)
-    model["Q"] += 0.3
-    x = np.array([0] * lm.CONTEXT + [2])
-    t = np.array([lm.CONTEXT])
-    p = []
-    for k in range(4):
-        x[-1] = k
-        p.append(10 ** lm.log10_probabilities(model, x, t)[0])
-    assert abs(sum(p) - 1) < 1e-5
-
-
 # --- 9 and 10: language, quality --------------------------------------------------------------------------------------
 
 
