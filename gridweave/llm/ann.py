@@ -1,39 +1,44 @@
 """Approximate nearest neighbours over learned partitions.
 
-Index: the neighbour graph of a bounded sample (SAMPLE vectors at most about, chosen by id) is cut into balanced parts by recursive
-bisection along the graph's second eigenvector, then refined by neighbours' votes under a capacity. A small
-network learns each sample vector's share of neighbours in each part. Every row goes to its most probable part.
-Search: a query goes to its most probable parts, until MASS of the probability and MIN_PARTS of the parts are reached, and is
-reranked there by exact cosine in double precision; the best of all its parts are merged.
-
-A part of any size is dealt in blocks of BLOCK rows by a hash of the id, queries in blocks of QUERIES; each task holds one block of either.
-
-Defined cases: vectors that are null, zero, of another length than most, or hold null or non-finite components take no part; queries with one id are searched once (one
-of them); equal candidate rows all count; ties go to the smaller vec_id; fewer candidates than k give fewer rows; no rows give no rows; other columns are ignored.
+Index: equal vectors are one candidate that carries its K smallest ids (more can't be in a result of K). The rows are split level by level, until a part
+holds about PART of them: in each part, the neighbour graph of a bounded sample (about SAMPLE vectors, drawn by id) is cut into balanced parts by recursive
+bisection along the graph's second eigenvector, then refined by neighbours' votes under a capacity, and a small network learns each sample vector's share
+of neighbours in each of them. Every row goes to its most probable part. The parts of one level are learned by as many tasks, so the index grows with the rows
+and a part does not; there are about log(rows / PART) / log(SPLITS) levels, two parts at least.
+Search: equal queries are searched once. A query goes to the parts of largest joint probability, until MASS of it and MIN_PARTS are reached, and is
+reranked there by exact cosine in double precision; the best of all its parts are merged. How many parts that takes is the data's: few where vectors have
+neighbourhoods, most where they point anywhere (no partition can tell then where the nearest lie). There is no cap, for recall comes first.
+
+A part larger than BLOCK (many different vectors that no split tells apart) is dealt in blocks by a hash of the id, its queries in blocks of QUERIES.
+
+Defined cases: vectors that are null, zero, of another length than most, or hold null or non-finite components take no part; a query's own id is no candidate for it, whichever
+row has it; of several rows with one id, the one with the least vector (in Spark's order of arrays) is that id's; ties go to the smaller vec_id; fewer candidates than k give fewer
+rows; no rows give no rows; other columns are ignored. Vectors are scaled by a power of two before squares are taken, which changes no cosine and lets none overflow.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
 from .common import chance, cut, table
 
-SAMPLE, NEIGHBOURS, HIDDEN, EPOCHS, MASS, MIN_PARTS, BLOCK, QUERIES, MAX_PARTS = 4096, 12, 64, 40, 0.995, 3, 8192, 2048, 32
-RESULT = "query_id long, vec_id long, score double"
+SAMPLE, NEIGHBOURS, HIDDEN, EPOCHS, MASS, MIN_PARTS, PART, SPLITS, BLOCK, QUERIES = 8192, 12, 64, 40, 0.97, 2, 512, 128, 8192, 2048
+ROUTED = "id long, v array<double>, ids array<long>, part long, p double"
+RESULT = "qid long, vec_id long, score double"
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id, v (array of double): rows that take part."""
+    """vec_id, v (array of double): rows that take part, one an id, scaled by a power of two that brings the largest component near one."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     rows = rows.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & F.forall("v", fine) & F.exists("v", lambda x: x != 0))
     most = rows.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "n").first()
-    return rows.where(F.size("v") == (most["n"] if most else -1))
+    rows = rows.where(F.size("v") == (most["n"] if most else -1)).groupBy("vec_id").agg(F.min("v").alias("v"))
+    exponent = F.floor(F.log2(F.array_max(F.transform("v", F.abs))))
+    half = F.floor(exponent / 2)  # in two steps, for powers beyond the range of doubles
+    return rows.select("vec_id", F.transform("v", lambda x: x * F.pow(F.lit(2.0), -half) * F.pow(F.lit(2.0), half - exponent)).alias("v"))
 
 
 def graph(x: np.ndarray, k: int = NEIGHBOURS) -> np.ndarray:
@@ -111,53 +116,85 @@ def route(x: np.ndarray, p: list[np.ndarray]) -> np.ndarray:
     return _softmax(np.maximum(x @ p[0] + p[1], 0) @ p[2] + p[3])
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    n = len(column)
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(n, -1) if n else np.zeros((0, 1))
-
-
 def _unit(x: np.ndarray) -> np.ndarray:
-    x = x / np.maximum(np.abs(x).max(1, keepdims=True), 1e-300)  # no overflow in the squares
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _routed(held, query: bool):
-    """vec_id, v, part: one row for each part that a vector goes to."""
+def splits(size: int, part: int) -> int:
+    """Parts that one level makes of a part: a power of two, of `part` rows each, SPLITS at most, but two at least and four from 256 rows on; 1 leaves a single row alone."""
+    return 1 if size < 2 else min(SPLITS, 1 << max(1 + (size >= 256), int(np.ceil(np.log2(max(1.0, size / part))))))
+
+
+def learn(x: np.ndarray, parts: int) -> list[np.ndarray]:
+    """The router of one part, from a sample of its vectors."""
+    x = _unit(np.unique(x, axis=0))
+    while parts > max(1, len(x) // 2):
+        parts //= 2
+    near = graph(x.astype(np.float32)) if parts > 1 else np.zeros((len(x), 0), np.int64)
+    label = balanced_parts(near, parts) if parts > 1 else np.zeros(len(x), np.int64)
+    target = np.zeros((len(x), parts))
+    np.add.at(target, (np.repeat(np.arange(len(x)), near.shape[1] + 1), label[np.c_[np.arange(len(x)), near]].ravel()), 1)
+    return fit_router(x, target / target.sum(1, keepdims=True))
+
+
+def _learned(part: int):
+    def run(key, t):
+        import pandas as pd
+
+        p = learn(np.stack(t["v"].to_numpy()), splits(int(t["size"].iloc[0]), part))
+        return pd.DataFrame({"part": [int(key[0])], "model": [b"".join(q.astype(np.float32).tobytes() for q in p)], "m": [p[2].shape[1]]})
+
+    return run
+
+
+def _routed(keep_all: bool):
+    """Rows (id, v, ids, part, p) of one part, or of a block of it, to its children: the most probable, or all that could matter, with joint probabilities."""
+
+    def run(key, left, right):
+        import pandas as pd
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            p = route(_unit(_matrix(b.column(1))), held.value)
-            if query:
-                order = np.argsort(-p, axis=1, kind="stable")
-                before = np.cumsum(np.take_along_axis(p, order, 1), axis=1) - np.take_along_axis(p, order, 1)
-                take = (before < MASS) | (np.arange(p.shape[1]) < MIN_PARTS)
-                rows, parts = np.nonzero(take)[0], order[take]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), b.column(1).take(pa.array(rows)), pa.array(parts.astype(np.int32))], ["vec_id", "v", "part"])
-            else:
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(p.argmax(1).astype(np.int32))], ["vec_id", "v", "part"])
+        cols = ["id", "v", "ids", "part", "p"]
+        if not len(left) or not len(right):  # a part that is not split again
+            return left[cols]
+        m, raw = int(right["m"].iloc[0]), np.frombuffer(right["model"].iloc[0], np.float32).astype(np.float64)
+        x = _unit(np.stack(left["v"].to_numpy()))
+        n = x.shape[1]
+        shapes, at, model = ((n, HIDDEN), (HIDDEN,), (HIDDEN, m), (m,)), 0, []
+        for shape in shapes:
+            size = int(np.prod(shape))
+            model.append(raw[at : at + size].reshape(shape))
+            at += size
+        p = route(x, model)
+        if keep_all:
+            order = np.argsort(-p, axis=1, kind="stable")
+            best = np.take_along_axis(p, order, 1)
+            take = (np.cumsum(best, axis=1) - best < MASS) | (np.arange(best.shape[1]) < MIN_PARTS)
+        else:
+            order = p.argmax(1)[:, None]
+            best, take = np.take_along_axis(p, order, 1), np.ones((len(p), 1), bool)
+        rows = np.nonzero(take)[0]
+        out = left.iloc[rows]
+        return pd.DataFrame({"id": out["id"].to_numpy(), "v": out["v"].to_numpy(), "ids": out["ids"].to_numpy(), "part": out["part"].to_numpy() * SPLITS + order[take], "p": out["p"].to_numpy() * best[take]})
 
     return run
 
 
-def nearest(q: np.ndarray, qid: np.ndarray, c: np.ndarray, cid: np.ndarray, k: int) -> tuple[list, list, list]:
-    """query id, candidate id, cosine of the k best others of each query; ties to the smaller id."""
+def nearest(q: np.ndarray, c: np.ndarray, ids: list[np.ndarray], k: int) -> tuple[list, list, list]:
+    """place of the query, candidate id, cosine: of the k best candidate rows of each query, all their ids."""
     out: tuple[list, list, list] = ([], [], [])
     nq, nc = np.sqrt((q * q).sum(1)), np.sqrt((c * c).sum(1))
-    uq, uc = _unit(q), _unit(c)
+    uq, uc, least = _unit(q), _unit(c), np.array([i[0] for i in ids])
     for i in range(0, len(q), 256):
         s = uq[i : i + 256] @ uc.T
-        s[qid[i : i + 256, None] == cid[None]] = -np.inf
         m = min(k, s.shape[1])
         cutoff = np.partition(s, s.shape[1] - m, axis=1)[:, s.shape[1] - m] - 1e-9
         for j in range(len(s)):
-            at = np.flatnonzero((s[j] >= cutoff[j]) & (s[j] > -np.inf))
+            at = np.flatnonzero(s[j] >= cutoff[j])
             exact = (q[i + j] * c[at]).sum(1) / (nq[i + j] * nc[at])
-            best = np.lexsort((cid[at], -exact))[:k]
-            out[0].extend([int(qid[i + j])] * len(best))
-            out[1].extend(cid[at[best]].tolist())
-            out[2].extend(exact[best].tolist())
+            for b in np.lexsort((least[at], -exact))[:k]:
+                out[0].extend([i + j] * len(ids[at[b]]))
+                out[1].extend(ids[at[b]].tolist())
+                out[2].extend([float(exact[b])] * len(ids[at[b]]))
     return out
 
 
@@ -166,47 +203,78 @@ def _rerank(k: int):
         import pandas as pd
 
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        a, b, s = nearest(np.stack(left["v"].to_numpy()), left["vec_id"].to_numpy(), np.stack(right["v"].to_numpy()), right["vec_id"].to_numpy(), k)
-        return pd.DataFrame({"query_id": a, "vec_id": b, "score": s})
+            return pd.DataFrame({"qid": [], "vec_id": [], "score": []})
+        at, ids, s = nearest(np.stack(left["v"].to_numpy()), np.stack(right["v"].to_numpy()), [np.asarray(i) for i in right["ids"]], k)
+        return pd.DataFrame({"qid": left["id"].to_numpy()[at], "vec_id": ids, "score": s})
 
     return run
 
 
-def build(rows: DataFrame, n: int) -> list[np.ndarray]:
-    """The router, from a sample of usable() rows."""
-    got = sorted((r["vec_id"], r["v"]) for r in rows.where(chance(F.col("vec_id"), 41) < min(1.0, SAMPLE / n)).limit(2 * SAMPLE).collect())
-    x = _unit(np.unique(np.array([v for _, v in got]), axis=0)) if got else np.zeros((0, 1))
-    parts = 1
-    while parts < MAX_PARTS and parts * 2 * 1024 <= n and parts * 2 * 64 <= len(x):
-        parts *= 2
-    near = graph(x.astype(np.float32)) if parts > 1 else np.zeros((len(x), 0), np.int64)
-    label = balanced_parts(near, parts) if parts > 1 else np.zeros(len(x), np.int64)
-    target = np.zeros((len(x), parts))
-    np.add.at(target, (np.repeat(np.arange(len(x)), near.shape[1] + 1), label[np.c_[np.arange(len(x)), near]].ravel()), 1)
-    return fit_router(x, target / target.sum(1, keepdims=True))
-
-
-def search(vectors: DataFrame, queries: Column, k: int = 5) -> DataFrame:
+def distinct(rows: DataFrame, k: int) -> DataFrame:
+    """id, v, ids: one row a vector, with its k smallest ids; what a task has more of goes before the shuffle."""
+    few = rows.withColumn("n", F.row_number().over(W.partitionBy("v").orderBy("vec_id"))).where(F.col("n") <= k)
+    return few.groupBy("v").agg(F.min("vec_id").alias("id"), F.sort_array(F.collect_list("vec_id")).alias("ids"))
+
+
+def _dealt(t: DataFrame, sizes: DataFrame, own: str, other: str) -> DataFrame:
+    """t with `block` and `qblock`: by a hash of the id among its own blocks, and in all blocks of the other side."""
+    blocks = F.greatest(F.lit(1), F.ceil(F.col(own) / (BLOCK if own == "rows" else QUERIES)).cast("int"))
+    others = F.greatest(F.lit(1), F.ceil(F.col(other) / (QUERIES if own == "rows" else BLOCK)).cast("int"))
+    mine, theirs = F.pmod(F.xxhash64("id"), blocks).cast("int"), F.explode(F.sequence(F.lit(0), others - 1))
+    names = ("block", "qblock") if own == "rows" else ("qblock", "block")
+    return t.join(sizes, "part").select("part", mine.alias(names[0]), theirs.alias(names[1]), "id", "v", "ids")
+
+
+def index(base: DataFrame, asked: DataFrame, n: int, part: int = PART) -> tuple[DataFrame, DataFrame]:
+    """(base, asked), both (id, v, ids, part, p): each row of base in its part, each row of asked in all parts where it is to be searched. n: rows of base."""
+    start_ = [F.lit(0).cast("long").alias("part"), F.lit(1.0).alias("p")]
+    base, asked = cut(base.select("id", "v", "ids", *start_)), cut(asked.select("id", "v", "ids", *start_))
+    levels, left = 0, n
+    while left > 1 and (levels == 0 or left > part):
+        sizes = cut(base.groupBy("part").agg(F.count("*").alias("size")))
+        # in a level, all parts are split, for paths to be of one length; a part that needs no split goes to one child
+        draw = base.join(sizes, "part").where(chance(F.col("id"), 41 + levels) < F.lit(float(SAMPLE)) / F.col("size"))
+        models = cut(draw.select("part", "v", "size").groupBy("part").applyInPandas(_learned(part), "part long, model binary, m int"))
+        blocks = sizes.select("part", F.ceil(F.col("size") / BLOCK).cast("int").alias("b"))
+        each = cut(models.join(blocks, "part").select("part", F.explode(F.sequence(F.lit(0), F.col("b") - 1)).alias("block"), "model", "m"))
+
+        def down(t: DataFrame, every: bool) -> DataFrame:
+            t = t.join(blocks, "part").withColumn("block", F.pmod(F.xxhash64("id"), F.col("b")).cast("int")).drop("b")
+            return t.groupBy("part", "block").cogroup(each.groupBy("part", "block")).applyInPandas(_routed(every), ROUTED)
+
+        base = cut(down(base, False))
+        asked = down(asked, True)
+        if levels:  # the most probable of all its paths
+            w = W.partitionBy("id").orderBy(F.desc("p"), "part")
+            asked = asked.withColumn("rank", F.row_number().over(w)).withColumn("before", F.sum("p").over(w.rowsBetween(W.unboundedPreceding, -1)))
+            asked = asked.where((F.coalesce("before", F.lit(0.0)) < MASS) | (F.col("rank") <= MIN_PARTS)).drop("rank", "before")
+        asked = cut(asked)
+        levels, left = levels + 1, left / splits(left, part)
+    return base, asked
+
+
+def search(vectors: DataFrame, queries: Column, k: int = 5, part: int = PART) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for each row of vectors (vec_id, embedding) that `queries` holds for."""
     rows = cut(usable(vectors))
-    n = rows.count()
-    if not n:
+    ask = rows.where(queries)
+    wanted = cut(distinct(ask, 1))
+    base = cut(distinct(rows, k + 1))
+    n = base.count()
+    if n < 2:  # nobody has a neighbour
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    held = rows.sparkSession.sparkContext.broadcast(build(rows, n))
-    kind = "vec_id long, v array<double>, part int"
-    base = cut(rows.mapInArrow(_routed(held, False), kind))
-    asked = cut(rows.where(queries).dropDuplicates(["vec_id"]).mapInArrow(_routed(held, True), kind))
-    sizes = base.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb")).join(asked.groupBy("part").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("nq")), "part")
-    sizes = F.broadcast(cut(sizes))  # MAX_PARTS rows at most
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    own = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
-    c = base.join(sizes, "part").select("part", own("nb").alias("block"), spread("nq").alias("qblock"), "vec_id", "v")
-    q = asked.join(sizes, "part").select("part", spread("nb").alias("block"), own("nq").alias("qblock"), "vec_id", "v")
+    base, asked = index(base, wanted, n, part)
+    sizes = base.groupBy("part").agg(F.count("*").alias("rows")).join(asked.groupBy("part").agg(F.count("*").alias("asked")), "part")
+    sizes = cut(sizes)
+    c, q = _dealt(base, sizes, "rows", "asked"), _dealt(asked, sizes, "asked", "rows")
     key = ["part", "block", "qblock"]
-    found = q.groupBy(*key).cogroup(c.groupBy(*key)).applyInPandas(_rerank(k), RESULT)
-    w = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    found = q.groupBy(*key).cogroup(c.groupBy(*key)).applyInPandas(_rerank(k + 1), RESULT)
+    # k + 1 of all candidates hold k others of any query
+    w = W.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
+    found = found.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k + 1).groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("n", "vec_id", "score"))).alias("near"))
+    near = found.join(wanted.select(F.col("id").alias("qid"), F.col("v").alias("w")), "qid").select("w", "near")
+    others = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
+    out = ask.select(F.col("vec_id").alias("query_id"), "v").join(near, F.col("v") == F.col("w")).select("query_id", F.posexplode(others).alias("rank", "x"))
+    return out.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), "x.vec_id", "x.score")
 
 
 def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -160,6 +160,48 @@ def test_ann_small_is_exact(spark):
     assert ann.search(d.where("vec_id > 99"), F.col("vec_id") == 100).count() == 0
 
 
+def brute_neighbours(x, ids, queries, k=5):
+    n, out = np.sqrt((x * x).sum(1)), {}
+    for q in queries:
+        s = (x[q] * x).sum(1) / (n[q] * n)
+        s[ids == ids[q]] = -9
+        out[ids[q]] = ids[np.lexsort((ids, -s))[:k]].tolist()
+    return out
+
+
+def test_ann_recall_with_many_parts(spark, monkeypatch):
+    kept = []
+    index = ann.index
+    monkeypatch.setattr(ann, "index", lambda *a, **b: kept.append(index(*a, **b)) or kept[-1])
+    rng = np.random.default_rng(0)
+    x = np.repeat(rng.normal(size=(1000, 16)), 20, axis=0) + 0.3 * rng.normal(size=(20_000, 16))
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.search(d, F.col("vec_id") % 100 == 0, part=64).toPandas()
+    want = brute_neighbours(x, np.arange(20_000), range(0, 20_000, 100))
+    assert sum(len(set(g.vec_id) & set(want[q])) for q, g in got.groupby("query_id")) >= 0.9 * 1000
+    base, asked = kept[-1]
+    sizes = {r["part"]: r["count"] for r in base.groupBy("part").count().collect()}
+    scanned = sum(sizes.get(r["part"], 0) * r["count"] for r in asked.groupBy("part").count().collect()) / 200
+    assert len(sizes) > 150 and base.count() == 20_000 and scanned < 6_000
+
+
+def test_ann_equal_vectors_ids_and_sizes(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(40, 3))
+    x[10:30] = x[10]  # more copies than a result holds
+    ids = np.arange(40) * 7
+    rows = [(int(i), v.tolist()) for i, v in zip(ids, x)] + [(0, x[0].tolist()), (7, [-9.0, 0.0, 0.0])]
+    x[1] = min(x[1].tolist(), [-9.0, 0.0, 0.0])  # the least vector of an id is the id's
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in ann.search(d, F.lit(True)).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    assert got == brute_neighbours(x, ids, range(40))
+    big = spark.createDataFrame([(1, [1e300, 2e300]), (2, [1e-310, 2e-310]), (3, [2.0, -1.0])], "vec_id long, embedding array<double>")
+    r = ann.search(big, F.col("vec_id") == 1).orderBy("rank").collect()
+    assert [x["vec_id"] for x in r] == [2, 3] and abs(r[0]["score"] - 1) < 1e-9 and abs(r[1]["score"]) < 1e-12
+
+
 def test_balanced_parts():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(400, 8))
