@@ -16,10 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; a temporary one only where none is set."""
+    """The folder in spark.checkpoint.dir, which all executors share. Where none is set, a temporary one, but only in local mode."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="gridweave-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir is not set: no folder is known that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="gridweave-"))
     return sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -29,6 +32,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores before it as keep it apart from the columns."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+        taken.add(name.lower())
+    return out
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """df with a number for each row, the same whenever the plan runs: rows of anything but a plain scan are checkpointed first."""
+
+    def steady(node) -> bool:
+        kind, children = node.getClass().getSimpleName(), node.children()
+        return kind in ("LogicalRelation", "LogicalRDD", "LocalRelation", "Project", "Filter") and all(steady(children.apply(i)) for i in range(children.size()))
+
+    return (df if steady(df._jdf.queryExecution().optimizedPlan()) else cut(df)).withColumn(name, F.monotonically_increasing_id())
+
+
 def fold(doc_id: str | Column, mod: int) -> Column:
     """crc32 of the id as text, modulo mod (null for a null id)."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -6,7 +6,7 @@ with L1 and L2 penalties over a bounded sample of labelled rows, PER_LANG of eac
 sets the temperature that divides the logits.
 
 Defined cases: a null text or one without a letter is `und` with score 0; so is any text when there is nothing to learn from; a row
-with a null language or id is never learned from; repeated rows repeat; other columns are ignored. At most MAX_LANGS languages, the most frequent ones, are learned.
+with a null language or id is never learned from; repeated rows repeat; other columns are ignored. Every language that has a row is learned.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import chance, fold, held_out, table
 
-DIM_BITS, PER_LANG, MAX_LANGS, MOD, REMAINDER = 15, 800, 256, 4, 2
+DIM_BITS, PER_LANG, MOST_BROADCAST, MOD, REMAINDER = 15, 800, 20_000, 4, 2
 DIM = 1 << DIM_BITS
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.002, 0.1, 4
 
@@ -29,12 +29,12 @@ class Features:
     """text -> (cells, counts)."""
 
     def __init__(self):
-        self.letter = np.fromiter((chr(i).isalpha() for i in range(65536)), bool, 65536)
+        self.letter = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
         """None without a letter."""
         c = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-        letter = (c >= 65536) | self.letter[np.minimum(c, 65535)]
+        letter = self.letter[c]
         if not letter.any():
             return None
         c = np.where(letter, c, np.uint32(32))
@@ -119,13 +119,9 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, per_lang: int = PER_LANG):
     """(languages, idf, weights, temperature), or None without labelled rows."""
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", MOD) != REMAINDER))
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
-    if not counts:
-        return None
-    keep = F.lit(False)
-    for lang, n in counts:
-        keep = keep | ((F.col("lang") == lang) & (chance(F.col("doc_id"), 29) < min(1.0, per_lang / n)))
-    got = known.where(keep).select("text", "lang")
+    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
+    counts = F.broadcast(counts) if counts.count() <= MOST_BROADCAST else counts
+    got = known.join(counts, "lang").where(chance(F.col("doc_id"), 29) < F.least(F.lit(1.0), F.lit(float(per_lang)) / F.col("n"))).select("text", "lang")
     got = sorted(got.mapInArrow(_sampled, "lang string, cells binary, counts binary").collect())
     if not got:
         return None

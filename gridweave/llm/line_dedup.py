@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, table
+from .common import WORD, cut, fresh, numbered, table
 
 MIN_WORDS, STEP, NONE = 1, 64, -1
 
@@ -431,19 +431,20 @@ def kept_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return at.withColumn("end", F.col("start") + F.col("n")).join(runs, "end").select("rid", "start", "w", "pos", "run").mapInArrow(_kept(min_words), "rid long, keep array<boolean>")
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with the later copies of repeated runs taken out of text, and __lines, __deleted. docs must be a scan of a table (its
-    rows are numbered twice, by files and places)."""
-    numbered = docs.withColumn("__rid", F.monotonically_increasing_id())
-    keep = cut(kept_lines(numbered.select(F.col("__rid").alias("rid"), "doc_id", "text"), min_words))
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, counts: tuple[str, str] | None = None) -> DataFrame:
+    """docs with the later copies of repeated runs taken out of text. counts: names of two more columns, the lines that a text had and lost."""
+    rid, keep_, gone = fresh([*docs.columns, *(counts or ())], "__rid", "__keep", "__gone")
+    rows = numbered(docs, rid)
+    keep = cut(kept_lines(rows.select(F.col(rid).alias("rid"), "doc_id", "text"), min_words))
     parts = F.split("text", "\n", -1)
-    left = F.transform(F.filter(F.arrays_zip(parts.alias("l"), F.col("__keep").alias("k")), lambda x: x["k"]), lambda x: x["l"])
-    out = numbered.join(keep.select(F.col("rid").alias("__rid"), F.col("keep").alias("__keep")), "__rid", "left")
-    out = out.withColumn("__lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(parts))).withColumn("__deleted", F.coalesce(F.size(F.filter("__keep", lambda x: ~x)), F.lit(0)))
-    out = out.withColumn("__deleted", F.greatest("__deleted", F.lit(0))).withColumn("text", F.when(F.col("__keep").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
-    return out.select(*docs.columns, "__lines", "__deleted")
+    left = F.transform(F.filter(F.arrays_zip(parts.alias("l"), F.col(keep_).alias("k")), lambda x: x["k"]), lambda x: x["l"])
+    out = rows.join(keep.select(F.col("rid").alias(rid), F.col("keep").alias(keep_)), rid, "left").withColumn(gone, F.coalesce(F.size(F.filter(keep_, lambda x: ~x)), F.lit(0)))
+    out = out.withColumn(gone, F.greatest(gone, F.lit(0)))
+    text = F.when(F.col(keep_).isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    more = [F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long").alias(counts[0]), F.col(gone).cast("long").alias(counts[1])] if counts else []
+    return out.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns], *more)
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", F.col("__lines").cast("long").alias("n_lines"), F.col("__deleted").cast("long").alias("n_deleted"), "text")
+    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=("n_lines", "n_deleted"))
+    return out.select("doc_id", "n_lines", "n_deleted", "text")

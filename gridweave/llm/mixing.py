@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, table
+from .common import WORD, cut, fresh, table
 
 BUCKETS, MOST_BROADCAST = 4096, 20_000
 
@@ -92,14 +92,26 @@ def plan(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.
 
 
 def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0, importance: str | None = None) -> DataFrame:
-    """docs (doc_id, source, text, ...) with __size, __source_size, __target, __copies. Texts are not shuffled."""
+    """docs (doc_id, source, text, ...) with __size, __source_size, __target, __copies (see added()). Texts are not shuffled."""
     p = plan(docs, weights, share, cap, importance)
     gain = F.coalesce(F.col(importance).cast("double"), F.lit(1.0)) if importance else F.lit(1.0)
     rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), gain.alias("gain"), F.struct("*").alias("row"))
     d = ranked(with_sources(rows, p))
     here = (F.col("bucket") == F.col("at")) & (F.struct("q", "doc_id", "size") <= F.col("last"))
     extra = F.coalesce((F.col("bucket") < F.col("at")) | here, F.lit(False)).cast("long")
-    return d.select("row.*", F.col("size").alias("__size"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), (F.col("whole") + extra).alias("__copies"))
+    size, source_size, target, copies = added(docs)
+    return d.select("row.*", F.col("size").alias(size), F.col("source_size").alias(source_size), F.col("target").alias(target), (F.col("whole") + extra).alias(copies))
+
+
+def added(docs: DataFrame) -> list[str]:
+    """Names of the columns that mix() adds; columns of docs that have one of them already keep it, and the new one gets underscores."""
+    return fresh(docs.columns, "__size", "__source_size", "__target", "__copies")
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it."""
+    copies, copy = *added(docs)[3:], *fresh([*docs.columns, *added(docs)], "__copy")
+    return mix(docs, **options).withColumn(copy, F.explode(F.array_repeat(F.lit(0), F.col(copies).cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

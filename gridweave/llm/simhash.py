@@ -2,8 +2,9 @@
 
 Fingerprints: see fingerprint(). Distinct fingerprints alone are compared, so exact copies cost nothing.
 
-Sharding is exact. The 64 bits are cut into radius + 2 blocks; two fingerprints within the radius agree on at least two
-blocks, so each fingerprint goes, for every pair of blocks, to the shard that holds the same values there. A
+Sharding is exact, and the trees do the search. The 64 bits are cut into radius + 1 blocks; two fingerprints within the radius agree on at least
+one of them, so each fingerprint goes, for every block, to the shard that holds the same values in the block's first few bits: as many bits as
+leave a shard about SHARD distinct fingerprints (no bit up to that number; where a whole block would not do, pairs of radius + 2 blocks, of which two agree). A
 shard has one BK-tree: children are keyed by their integer Hamming distance to the parent, and a search follows
 only the edges within the radius of the distance just measured. A task builds and searches the trees of all its
 shards at once, as arrays. From a tree no pair list leaves, but one edge from each member to the
@@ -18,7 +19,7 @@ component whose ids are all null has a null id; no rows give no rows; other colu
 
 from __future__ import annotations
 
-import re
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -27,18 +28,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, fresh, numbered, table
 from .components import components
 
-RADIUS, SHINGLE, CHUNK, MOST_BROADCAST = 3, 3, 1_000_000, 200_000
-_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+RADIUS, SHINGLE, SHARD, QUERIES, CHUNK, MOST_BROADCAST = 3, 3, 512, 5_000, 1_000_000, 200_000
 
 
 def fingerprint(text: str | None, n: int = SHINGLE) -> int:
     """64 bits: each set if it is set in over half of the XXH64 values (seed 42) of the n-word shingles."""
     import xxhash
 
-    words = _WORD.findall((text or "").encode("utf-8", "surrogatepass").lower())  # bytes.lower() changes A-Z alone
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes: A-Z alone, and ASCII white space alone
     if not words:
         return 0
     h = xxhash.xxh64_intdigest
@@ -56,11 +56,18 @@ def _fingerprints(n: int):
     return run
 
 
-def blocks(radius: int) -> list[int]:
-    """Masks of all pairs of radius + 2 blocks of the 64 bits, as signed longs."""
-    edges = np.linspace(0, 64, radius + 3).astype(int)
-    parts = [((1 << int(b)) - 1) ^ ((1 << int(a)) - 1) for a, b in zip(edges, edges[1:])]
-    return [m - (1 << 64) if m >> 63 else m for m in (a | b for a, b in combinations(parts, 2))]
+def blocks(radius: int, n: int, shard: int = SHARD) -> list[int]:
+    """Masks by which n distinct fingerprints are dealt, as signed longs: no bits, the first bits of radius + 1 blocks, or all pairs of radius + 2 blocks."""
+    bits = math.ceil(math.log2(max(1.0, n / shard)))
+    if not bits:
+        return [0]
+    whole = 64 // (radius + 1)
+    if bits <= whole:
+        masks = [((1 << bits) - 1) << (i * whole) for i in range(radius + 1)]
+    else:
+        edges = [round(64 * i / (radius + 2)) for i in range(radius + 3)]
+        masks = [a | b for a, b in combinations([(1 << b) - (1 << a) for a, b in zip(edges, edges[1:])], 2)]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
 def bk_links(shard: np.ndarray, fp: np.ndarray, radius: int) -> np.ndarray:
@@ -87,8 +94,8 @@ def bk_links(shard: np.ndarray, fp: np.ndarray, radius: int) -> np.ndarray:
     child = np.flatnonzero(parent >= 0)
     child = child[np.argsort(parent[child] * 65 + edge[child])]
     keys = parent[child] * 65 + edge[child]
-    for start in range(0, n, 20_000):
-        q = np.arange(start, min(n, start + 20_000))
+    for start in range(0, n, QUERIES):
+        q = np.arange(start, min(n, start + QUERIES))
         at = root[q]
         while q.size:
             d = np.bitwise_count(fp[q] ^ fp[at]).astype(np.int64)
@@ -154,8 +161,8 @@ def fingerprints(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
 def near_duplicates(docs: DataFrame, n: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp, component_id for each row of docs (doc_id, text)."""
     rows = cut(fingerprints(docs, n))
-    each = rows.select("fp").distinct()
-    masks = [F.struct(F.lit(i).alias("k"), F.col("fp").bitwiseAND(F.lit(m)).alias("m")) for i, m in enumerate(blocks(radius))]
+    each = cut(rows.select("fp").distinct())
+    masks = [F.struct(F.lit(i).alias("k"), F.col("fp").bitwiseAND(F.lit(m)).alias("m")) for i, m in enumerate(blocks(radius, each.count()))]
     shards = each.select("fp", F.explode(F.array(*masks)).alias("s")).select("s.k", "s.m", "fp")
     edges = shards.repartition("k", "m").sortWithinPartitions("k", "m", "fp").mapInArrow(_edges(radius), "a long, b long")
     roots = components(edges).withColumnRenamed("node", "fp")
@@ -166,21 +173,20 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, radius: int = RADIUS) ->
 
 
 def one_of_each(docs: DataFrame, n: int = SHINGLE, radius: int = RADIUS, found=None) -> DataFrame:
-    """The rows of docs, in all their columns, but those for which a row with a smaller id (or of the same id and a smaller place) is in
-    the same component. docs must be a scan of a table (its rows are numbered twice, by files and places). found: (rid, text) -> (rid, c), components
-    by another rule."""
-    rows = docs.withColumn("__rid", F.monotonically_increasing_id())
+    """The rows of docs, in all their columns, but those for which a row with a smaller id (or of the same id and a smaller place; null ids come last) is in
+    the same component. found: (rid, text) -> (rid, c), components by another rule; rows alone in theirs may be left out."""
+    (rid,) = fresh(docs.columns, "__rid")
+    rows = numbered(docs, rid)
     if found is None:
-        made = near_duplicates(rows.select(F.col("__rid").alias("doc_id"), "text"), n, radius).select(F.col("doc_id").alias("__rid"), F.col("component_id").alias("c"))
+        made = near_duplicates(rows.select(F.col(rid).alias("doc_id"), "text"), n, radius).select(F.col("doc_id").alias("rid"), F.col("component_id").alias("c"))
     else:
-        made = found(rows.select(F.col("__rid").alias("rid"), "text")).withColumnRenamed("rid", "__rid")
-    groups = cut(made.join(made.groupBy("c").agg(F.count("*").alias("n")).where("n > 1").select("c"), "c"))
-    ids = rows.select("__rid", F.col("doc_id").alias("id"))
-    groups = groups.join(ids, "__rid")
-    stays = groups.groupBy("c").agg(F.min_by("__rid", F.struct(F.col("id").isNull(), "id", "__rid")).alias("__rid"))
-    gone = cut(groups.select("__rid").join(stays.select("__rid"), "__rid", "left_anti"))
+        made = found(rows.select(F.col(rid).alias("rid"), "text"))
+    groups = cut(made.join(rows.select(F.col(rid).alias("rid"), F.col("doc_id").alias("id")), "rid"))
+    # one row a task and component reaches the shuffle, however many copies a component has
+    stays = groups.groupBy("c").agg(F.min_by("rid", F.struct(F.col("id").isNull(), "id", "rid")).alias("rid"))
+    gone = cut(groups.select(F.col("rid").alias(rid)).join(stays.select(F.col("rid").alias(rid)), rid, "left_anti"))
     gone = F.broadcast(gone) if gone.count() <= MOST_BROADCAST else gone
-    return rows.join(gone, "__rid", "left_anti").drop("__rid")
+    return rows.join(gone, rid, "left_anti").drop(rid)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
