@@ -32,6 +32,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def lean(f):
+    """A function of batches that gives memory back to the system when a task is done; Python workers live on, and what they hold counts against their executor."""
+
+    def run(batches):
+        import ctypes
+        import gc
+
+        import pyarrow as pa
+
+        yield from f(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:  # another C library
+            pass
+
+    return run
+
+
 def fresh(columns: list[str], *names: str) -> list[str]:
     """The names, each with as many underscores before it as keep it apart from the columns."""
     taken, out = {c.lower() for c in columns}, []

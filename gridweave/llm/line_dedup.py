@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, fresh, numbered, table
+from .common import WORD, cut, fresh, lean, numbered, table
 
 MIN_WORDS, STEP, NONE = 1, 64, -1
 
@@ -384,7 +384,7 @@ def repeats(array_: DataFrame, docs_lines: DataFrame) -> DataFrame:
     known = common_prefixes(array_, docs_lines)
     full = array_.select("pos", "end", "a", "b", "r").join(known, "pos", "left").withColumn("lcp", F.coalesce("lcp", F.lit(0).cast("long")))
     full = cut(full.repartitionByRange("a", "b", "r").sortWithinPartitions("a", "b", "r"))
-    sums = sorted(full.mapInArrow(_summary, "p int, head long, least long, rn array<long>, rq array<long>, ln array<long>, lq array<long>").collect())
+    sums = sorted(full.mapInArrow(lean(_summary), "p int, head long, least long, rn array<long>, rq array<long>, ln array<long>, lq array<long>").collect())
     held, carry = {}, []
     for s in sums:  # from the left
         held[s["p"]] = [carry]
@@ -394,7 +394,7 @@ def repeats(array_: DataFrame, docs_lines: DataFrame) -> DataFrame:
         held[s["p"]] += [carry, after]
         carry = _folded(carry, min(after, s["least"]), list(zip(s["ln"], s["lq"])))
         after = s["head"]
-    return full.mapInArrow(_longest(spark.sparkContext.broadcast(held)), "pos long, end long, run long").where("run > 0")
+    return full.mapInArrow(lean(_longest(spark.sparkContext.broadcast(held))), "pos long, end long, run long").where("run > 0")
 
 
 # --- deletion -----------------------------------------------------------------------------------------------------
@@ -428,7 +428,7 @@ def kept_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     ranks = suffix_ranks(at)
     array_ = cut(ranks.repartitionByRange("a", "b", "r").sortWithinPartitions("a", "b", "r"))
     runs = repeats(array_, at).groupBy("end").agg(F.collect_list("pos").alias("pos"), F.collect_list("run").alias("run"))
-    return at.withColumn("end", F.col("start") + F.col("n")).join(runs, "end").select("rid", "start", "w", "pos", "run").mapInArrow(_kept(min_words), "rid long, keep array<boolean>")
+    return at.withColumn("end", F.col("start") + F.col("n")).join(runs, "end").select("rid", "start", "w", "pos", "run").mapInArrow(lean(_kept(min_words)), "rid long, keep array<boolean>")
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, counts: tuple[str, str] | None = None) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chance, cut, held_out, table
+from .common import chance, cut, held_out, lean, table
 
 MOD, REMAINDER = 7, 2
 FREQUENT, TAILS, ENDING, MEMBERS, DIM, CONTEXT = 7168, 1023, 3, 128, 32, 6
@@ -72,7 +72,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """(w binary, c): counts of all words of all rows of docs; pre-counted in each task."""
-    return docs.select("text").mapInArrow(_word_counts, "w binary, n long").groupBy("w").agg(F.sum("n").alias("c"))
+    return docs.select("text").mapInArrow(lean(_word_counts), "w binary, n long").groupBy("w").agg(F.sum("n").alias("c"))
 
 
 def tail_of(w: bytes) -> int:
@@ -399,7 +399,7 @@ def train(encoded: DataFrame, freq: np.ndarray, tokens: int):
     past = past or {k: np.full_like(v, 1e-2) for k, v in model.items()}
     held = encoded.sparkSession.sparkContext.broadcast((perm, edges, freq, model, past))
     kind = "g int, n long, raw binary"
-    sums = learn.select("ids").mapInArrow(_local(held), kind).repartition(GROUPS, "g").mapInArrow(_summed, kind)
+    sums = learn.select("ids").mapInArrow(lean(_local(held)), kind).repartition(GROUPS, "g").mapInArrow(_summed, kind)
     r = sums.withColumn("g", F.lit(0)).repartition(1).mapInArrow(_summed, kind).first()  # GROUPS models at most
     return perm, edges, _unpack(np.frombuffer(r["raw"], np.float32) * np.float32(1e6 / r["n"]), model) if r and r["n"] else model
 

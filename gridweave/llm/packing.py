@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, lean, table
 
 SIZE, END, WINDOWS, MERGE = 2048, 1, 32, 64
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -161,7 +161,7 @@ def pack(docs: DataFrame, size: int = SIZE, end: int = END, windows: int = WINDO
     """One row for each piece of each row of docs (doc_id, text): PIECES."""
     columns = ["pid int", "left boolean", *PIECES.split(", ")]
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    done = cut(source.mapInArrow(packed(size, end, windows, tokenizer_json, ranks), ", ".join(columns)))
+    done = cut(source.mapInArrow(lean(packed(size, end, windows, tokenizer_json, ranks)), ", ".join(columns)))
     top, level, out = done.agg(F.max("pid")).first()[0] or 0, 0, []
     while True:
         level += 1

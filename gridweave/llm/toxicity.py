@@ -28,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fold, held_out, labelled_ids, labelled_texts, table
+from .common import cut, fold, held_out, labelled_ids, labelled_texts, lean, table
 
 #: Letters that a character may stand for, vowels that a star may hide, and the model's alphabet.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c", "<": "c"}
 VOWELS = "aeiou"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõöøùúûüýßœ"
-MOD, REMAINDER, PER_CLASS, PREFIXES, PRIOR, MIN_ROWS, STRONG, MAX_FEATURES, CACHE, THRESHOLD = 4, 2, 6000, (4, 5, 6), 5.0, 3, 2.0, 100_000, 200_000, 0.3
+MOD, REMAINDER, PER_CLASS, PREFIXES, PRIOR, MIN_ROWS, STRONG, MAX_FEATURES, CACHE, SPANS, THRESHOLD = 4, 2, 6000, (4, 5, 6), 5.0, 3, 2.0, 100_000, 150_000, 20_000, 0.3
 #: Channel costs, in nats.
 SUBSTITUTE, AT_EDGE, DELETE, HIDDEN, SHORTEN, JOIN = 1.0, 4.0, 1.0, 2.0, 0.5, 1.0
 SHORT = 4  # characters of a token that may be a part of a word
@@ -98,7 +98,7 @@ def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def char_model(docs: DataFrame) -> np.ndarray:
     """Negative log-probabilities [a, b, c] of c after a, b; interpolated with bigrams and the uniform. At most K**3 cells reach the driver."""
-    counts = docs.select("text").mapInArrow(_trigrams, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    counts = docs.select("text").mapInArrow(lean(_trigrams), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     tri = np.zeros(K**3)
     for cell, n in counts.collect():
         tri[cell] = n
@@ -262,10 +262,10 @@ def words_of(token: str, decode: Decoder) -> list[str]:
 
 
 class Cache:
-    """A dict of at most two times CACHE entries: what was not asked for since the last change goes."""
+    """A dict of at most two times `most` entries: what was not asked for since the last change goes."""
 
-    def __init__(self, make):
-        self.make, self.new, self.old = make, {}, {}
+    def __init__(self, make, most: int):
+        self.make, self.most, self.new, self.old = make, most, {}, {}
 
     def __call__(self, key: str):
         got = self.new.get(key)
@@ -273,7 +273,7 @@ class Cache:
             got = self.old.get(key)
             if got is None:
                 got = self.make(key)
-            if len(self.new) >= CACHE:
+            if len(self.new) >= self.most:
                 self.old, self.new = self.new, {}
             self.new[key] = got
         return got
@@ -284,7 +284,7 @@ class Reader:
 
     def __init__(self, cost: np.ndarray):
         self.decode = Decoder(cost)
-        self.span, self.token = Cache(self.decode.span), Cache(lambda t: words_of(t, self.decode))
+        self.span, self.token = Cache(self.decode.span, SPANS), Cache(lambda t: words_of(t, self.decode), CACHE)
 
     def tokens(self, text: str | None) -> list[str]:
         """Of the lower-case text, with each row of short tokens replaced by its reading."""
@@ -418,7 +418,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
     known = labels.where(F.col("doc_id").isNotNull() & (fold("doc_id", MOD) != REMAINDER))
     prior = float(known.agg(F.avg((F.col(label) == 1).cast("double"))).first()[0])
     cost = char_model(docs)
-    rows = cut(rows.mapInArrow(_read(cost), "y int, part int, words array<string>"))
+    rows = cut(rows.mapInArrow(lean(_read(cost)), "y int, part int, words array<string>"))
     parts = sorted({p for _, p in sizes})
     last = parts[-1]
     first = learned(rows, [p for p in parts if p != last] or parts, sizes, prior)
@@ -459,7 +459,7 @@ def score(docs: DataFrame, model) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores(b.column(1)))], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, score double")
 
 
 def keep_clean(docs: DataFrame, model, threshold: float = THRESHOLD) -> DataFrame:
@@ -473,7 +473,7 @@ def keep_clean(docs: DataFrame, model, threshold: float = THRESHOLD) -> DataFram
         for b in batches:
             yield b.filter(pa.array(scores(b.column(b.schema.get_field_index("text"))) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
