@@ -110,11 +110,13 @@ BROADLEAF, CONIFER, MIXED_FOREST, NON_FOREST, WATER = 11, 12, 13, 20, 30
 
 
 def focal_mixed(g: DataFrame, height: int, width: int, size: int = 3) -> DataFrame:
-    """Fuses forest classes: water where it leads, forest where forest classes outnumber the rest, by their shares."""
+    """Fuses forest classes. Forest, where its classes are as many as the others together: of the kind that makes up 75 % of broadleaf and
+    conifer, else mixed. Elsewhere water, where it is as frequent as other non-forest."""
     n = {c: F.count_if(F.col("v") == c) for c in (BROADLEAF, CONIFER, MIXED_FOREST, NON_FOREST, WATER)}
-    forest = n[BROADLEAF] + n[CONIFER] + n[MIXED_FOREST]
-    kind = F.when(n[BROADLEAF] >= 0.75 * forest, BROADLEAF).when(n[CONIFER] >= 0.75 * forest, CONIFER).otherwise(MIXED_FOREST)
-    v = F.when(n[WATER] > F.greatest(forest, n[NON_FOREST]), WATER).when(forest >= n[NON_FOREST], kind).otherwise(NON_FOREST)
+    forest, pure = n[BROADLEAF] + n[CONIFER] + n[MIXED_FOREST], n[BROADLEAF] + n[CONIFER]
+    kind = F.when((pure > 0) & (n[BROADLEAF] >= 0.75 * pure), BROADLEAF).when((pure > 0) & (n[CONIFER] >= 0.75 * pure), CONIFER).otherwise(MIXED_FOREST)
+    other = F.when((n[WATER] > 0) & (n[WATER] >= n[NON_FOREST]), WATER).otherwise(NON_FOREST)
+    v = F.when((forest > 0) & (forest >= n[NON_FOREST] + n[WATER]), kind).otherwise(other)
     return _gather(windows(g, height, width, offsets(size)), v.cast("double").alias("v"))
 
 
@@ -133,7 +135,7 @@ def taps_of(rows: list[list[float]]) -> dict:
 
 
 def sobel(g: DataFrame, name: str, height: int, width: int) -> DataFrame:
-    return focal(g, "convolve", height, width, taps=taps_of(SOBEL[name]), absolute=True)
+    return focal(g, "convolve", height, width, taps=taps_of(SOBEL[name]), absolute=True, normalize=True)
 
 
 def opened(g: DataFrame, height: int, width: int, size: int = 3) -> DataFrame:
@@ -151,11 +153,17 @@ def morphology_if(g: DataFrame, method: str, height: int, width: int, size: int,
     return w.select(*KEY, F.when(moved, F.col("e")).otherwise(F.col("c")).alias("v"), moved.cast("int").alias("changed"))
 
 
-def class_prior(g: DataFrame, height: int, width: int, classes: list[float], beta: float, size: int = 3) -> DataFrame:
-    """Markov-field priors: exp(-sum of beta over the neighbours of other classes), normalised; one column a class."""
-    w = _gather(windows(g, height, width, offsets(size)), *[F.exp(-beta * F.count_if(F.col("c").isNull() & (F.col("v") != c))).alias(f"e{i}") for i, c in enumerate(classes)])
-    total = sum((F.col(f"e{i}") for i in range(1, len(classes))), F.col("e0"))
-    return w.select(*KEY, *[(F.col(f"e{i}") / total).alias(f"p{i}") for i in range(len(classes))])
+def class_prior(g: DataFrame, height: int, width: int, classes: list[float], beta: float | list[list[float]], size: int = 3, eight: bool = True) -> DataFrame:
+    """Markov-field priors of each class: exp of minus the neighbours of every other listed class, each times beta[class][other], normalised; one column a
+    class. One beta serves all pairs. eight=False: neighbours in the same row or column alone."""
+    k = range(len(classes))
+    weight = beta if isinstance(beta, list) else [[beta] * len(classes)] * len(classes)
+    cells = [(i, j) for i, j in offsets(size) if eight or not i or not j]
+    w = _gather(windows(g, height, width, cells), *[F.count_if(((F.col("di") != 0) | (F.col("dj") != 0)) & (F.col("v") == c)).alias(f"n{i}") for i, c in enumerate(classes)])
+    e = [F.exp(-sum((F.col(f"n{j}") * float(weight[i][j]) for j in k if j != i), F.lit(0.0))) for i in k]
+    w = w.select(*KEY, *[x.alias(f"e{i}") for i, x in enumerate(e)])
+    total = sum((F.col(f"e{i}") for i in k[1:]), F.col("e0"))
+    return w.select(*KEY, *[(F.col(f"e{i}") / total).alias(f"p{i}") for i in k])
 
 
 def shift(g: DataFrame, dy: float, dx: float, bilinear: bool = False) -> DataFrame:
@@ -173,14 +181,15 @@ def shift(g: DataFrame, dy: float, dx: float, bilinear: bool = False) -> DataFra
 
 
 def shadow(height_map: DataFrame, sun_zenith: float, sun_azimuth: float, pixel: float = 1.0) -> DataFrame:
-    """y, x, shadow: 1 where a higher cell towards the sun casts its shadow, which is as long as its height makes it."""
+    """y, x, shadow: 1 where a cell lies below the line from a higher cell's top along the sun's rays. A shadow has as many cells as its height makes it, its own
+    cell among them; cells along it are found by cutting off fractions."""
     import math
 
-    sy, sx = -math.cos(math.radians(sun_azimuth)), math.sin(math.radians(sun_azimuth))
+    sin, cos = round(math.sin(math.radians(sun_azimuth)), 12), round(math.cos(math.radians(sun_azimuth)), 12)
     slope = math.tan(math.radians(sun_zenith))
-    cast = height_map.where("v is not null").withColumn("n", F.floor(F.abs(F.col("v") * slope) / pixel + 1e-9).cast("int")).where("n > 0")
-    cast = cast.select(F.col("y").alias("y0"), F.col("x").alias("x0"), "v", F.explode(F.sequence(F.lit(1), "n")).alias("d"))
-    y, x = (F.col(c) + F.rint(F.col("d") * -step).cast("int") for c, step in (("y0", sy), ("x0", sx)))
+    cast = height_map.where("v is not null").withColumn("n", F.floor(F.abs(F.col("v") * slope) / pixel + 1e-9).cast("int")).where("n > 1")
+    cast = cast.select(F.col("y").alias("y0"), F.col("x").alias("x0"), "v", F.explode(F.sequence(F.lit(1), F.col("n") - 1)).alias("d"))
+    y, x = (F.col("y0") + F.col("d") * cos).cast("int"), (F.col("x0") - F.col("d") * sin).cast("int")  # towards zero
     top = cast.groupBy(y.alias("y"), x.alias("x")).agg(F.max(F.col("v") - F.col("d") * (pixel / slope)).alias("top"))
     return height_map.join(top, KEY, "left").select(*KEY, F.coalesce((F.col("top") > F.col("v")).cast("int"), F.lit(0)).alias("shadow"))
 
@@ -237,58 +246,95 @@ def wavelet_cut(a, keep: float):
     return haar2d(c, True)[: a.shape[0], : a.shape[1]]
 
 
-def ground_pass(a, rise: float, flips: str = "nwse"):
-    """One directional surface-to-ground pass: a cell may rise at most `rise` above its predecessors in the scan."""
+PASSES = ("nwse", "nesw", "senw", "swne")
+
+
+def ground_pass(a, rise: float, limit: int, size: int = 3, direction: str = "nwse"):
+    """One directional surface-to-ground pass: True where at most `limit` cells of the window lie lower by more than `rise`. Any other cell takes the second lowest value
+    of its neighbours before the scan goes on, so what a building hides shows. Cells are done in wavefronts whose members don't see each other. Windows mirror; NaN counts as no neighbour."""
+    import numpy as np
+
+    flip = {"nwse": np.s_[:, :], "nesw": np.s_[:, ::-1], "senw": np.s_[::-1, ::-1], "swne": np.s_[::-1, :]}[direction]
+    b, r = np.array(a, float)[flip].copy(), size // 2
+    h, w = b.shape
+    ground = np.zeros((h, w), bool)
+    mirror = lambda k, n: np.clip(np.where(k < 0, -k, np.where(k >= n, 2 * (n - 1) - k, k)), 0, n - 1)
+    around = [(i, j) for i in range(-r, r + 1) for j in range(-r, r + 1) if i or j]
+    for front in range((r + 1) * (h - 1) + w):
+        y = np.arange(max(0, -(-(front - w + 1) // (r + 1))), min(h - 1, front // (r + 1)) + 1)
+        x = front - (r + 1) * y
+        near = np.stack([b[mirror(y + i, h), mirror(x + j, w)] for i, j in around])
+        lower = (b[y, x] - near > rise).sum(0)
+        ground[y, x] = (lower <= limit) & ~np.isnan(b[y, x])
+        second = np.sort(near, axis=0)[min(1, len(near) - 1)]  # NaN sorts last
+        b[y, x] = np.where(ground[y, x] | np.isnan(second), b[y, x], second)
+    return ground[flip]
+
+
+#: thresholds' limits of the four-pass mask.
+LIMITS = (2, 3, 2, 0)
+
+
+def ground_mask(a, rises=(0.7, 0.3, 0.1, -0.2), size: int = 3):
+    """0 where a pass in any direction, at any threshold, finds ground, else 1 (NaN: nodata)."""
     import numpy as np
 
-    b = {"nwse": a, "nesw": a[:, ::-1], "senw": a[::-1, ::-1], "swne": a[::-1]}[flips].copy()
-    for i in range(b.shape[0]):
-        for j in range(b.shape[1]):
-            near = [b[p, q] for p, q in ((i - 1, j), (i, j - 1), (i - 1, j - 1)) if p >= 0 and q >= 0 and not np.isnan(b[p, q])]
-            if near and b[i, j] > min(near) + rise:
-                b[i, j] = min(near)
-    return {"nwse": b, "nesw": b[:, ::-1], "senw": b[::-1, ::-1], "swne": b[::-1]}[flips]
+    out = np.ones(a.shape)
+    for rise, limit in zip(rises, LIMITS):
+        for direction in PASSES:
+            out[ground_pass(a, rise, limit, size, direction)] = 0
+    return np.where(np.isnan(a), np.nan, out)
 
 
-def line_length(a, eps: float = 0.5, longest: bool = True):
-    """Length of the longest (or shortest) straight run of near-equal values through each cell, over four directions."""
+def linear_features(a, step: float = 1.0, distance: float = 0.0, eps: float = 0.0, angle: float | None = None):
+    """(longest, its angle, shortest, its angle) through each cell: how many cells in a row, to either side, differ from it by eps at most, over
+    angles from north (0) to below 180 in steps, or one angle alone. A ray ends before `distance` cells (0: the square root of the raster's), and at the edge.
+    The first angle wins ties; a cell without any line has longest 0 and shortest 0."""
     import numpy as np
 
     h, w = a.shape
-    best = np.full((h, w), 0.0 if longest else np.inf)
-    for di, dj in ((0, 1), (1, 0), (1, 1), (1, -1)):
-        n = np.ones((h, w))
-        for s in (1, -1):
-            on = ~np.isnan(a)
-            for k in range(1, max(h, w)):
-                y, x = np.indices((h, w))
-                yy, xx = y + s * k * di, x + s * k * dj
-                inside = (yy >= 0) & (yy < h) & (xx >= 0) & (xx < w)
-                on = on & inside
-                if not on.any():
-                    break
+    distance = distance if distance > 0 else np.sqrt(h * w)
+    y, x = np.indices((h, w))
+    longest, shortest, at_l, at_s = np.zeros((h, w)), np.full((h, w), float(distance)), np.zeros((h, w)), np.zeros((h, w))
+    for north in np.arange(0.0, 180.0, step) if angle is None else [angle]:
+        n = np.zeros((h, w))
+        for side in (0, 1):
+            to = np.pi / 2 - np.radians(north) + side * np.pi
+            sin, cos = round(float(np.sin(to)), 12), round(float(np.cos(to)), 12)
+            on, ray = ~np.isnan(a), 1
+            while ray < distance and on.any():
+                yy, xx = np.trunc(y - ray * sin).astype(int), np.trunc(x + ray * cos).astype(int)
+                on &= (yy >= 0) & (yy < h) & (xx >= 0) & (xx < w)
                 on &= np.abs(a[np.clip(yy, 0, h - 1), np.clip(xx, 0, w - 1)] - a) <= eps
                 n += on
-        best = np.maximum(best, n) if longest else np.minimum(best, n)
-    return np.where(np.isnan(a), np.nan, best)
+                ray += 1
+        at_l[n > longest], at_s[n < shortest] = north, north
+        longest, shortest = np.maximum(longest, n), np.minimum(shortest, n)
+    return tuple(np.where(np.isnan(a), np.nan, v) for v in (longest, at_l, shortest, at_s))
 
 
-def dem_filter(g: DataFrame, method: str, height: int, width: int, size: int = 3, least: float = 1.0, rounds: int = 10) -> DataFrame:
-    """Surface to ground. open and close: morphology; promorph: openings of growing size that apply where they change by more than
-    `least`; etew_min: minima of growing windows under the same rule. Stops early once a round changes nothing."""
+def dem_filter(g: DataFrame, method: str, height: int, width: int, size: int = 3, largest: int = 17, rise: float = 0.2, slope: float = 0.0, top: float | None = None, pixel: float = 1.0, least: int = 0) -> DataFrame:
+    """Surface to ground, by morphology that applies where it moves a value by more than a threshold; rounds go on while over `least` cells change and the window is not
+    above `largest`. open, close: one round at `rise`. etew_min: erosion, windows grow by two, the threshold is slope * window. promorph: erosion, dilation and median,
+    windows go 3, 5, 9, 17, ..., the threshold is rise + slope * growth of the window * pixel, `top` at most."""
     if method not in ("open", "close", "promorph", "etew_min"):
         raise ValueError(f"unknown method {method!r}")
     if method in ("open", "close"):
-        return (opened if method == "open" else closed)(g, height, width, size)
-    for r in range(rounds):
-        n = size + 2 * r
-        if n >= min(height, width):
-            break
-        low = opened(g, height, width, n) if method == "promorph" else focal(g, "min", height, width, n)
-        step = g.join(low.withColumnRenamed("v", "low"), KEY, "left").withColumn("moved", F.col("v") - F.col("low") > least * (r + 1))
-        step = step.select(*KEY, F.when(F.col("moved"), F.col("low")).otherwise(F.col("v")).alias("v"), "moved")
-        step = durable(step)
-        g = step.drop("moved")
-        if step.where("moved").isEmpty():
+        for m in ("erode", "dilate") if method == "open" else ("dilate", "erode"):
+            g = morphology_if(g, m, height, width, size, rise).drop("changed")
+        return g
+    n, threshold = size, rise
+    while n <= largest:
+        low = durable(morphology_if(g, "erode", height, width, n, slope * n if method == "etew_min" else threshold))
+        changed = low.agg(F.sum("changed")).first()[0] or 0
+        g = low.drop("changed")
+        if method == "etew_min":
+            n += 2
+        else:
+            g = durable(focal(morphology_if(g, "dilate", height, width, n, threshold).drop("changed"), "median", height, width, n))
+            grown = 3 if n == 1 else 2 * (n - 1) + 1
+            threshold = rise + slope * (grown - n) * pixel
+            threshold, n = (min(threshold, top) if top is not None else threshold), grown
+        if changed <= least:
             break
     return g

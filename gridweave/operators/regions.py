@@ -16,7 +16,10 @@ def durable(df: DataFrame) -> DataFrame:
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         import tempfile
 
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="gridweave-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir is not set: no folder is known that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="gridweave-"))
     return df.checkpoint()
 
 
@@ -49,14 +52,19 @@ def regions(g: DataFrame, directions: list[tuple[int, int]] = FOUR) -> DataFrame
 
 
 def sieve(g: DataFrame, size: int, directions: list[tuple[int, int]] = FOUR) -> DataFrame:
-    """y, x, v: regions below `size` pixels take the value of their largest neighbour region (the lowest number wins ties), if that one is large enough to stay."""
-    r = durable(regions(g, directions))
-    area = r.groupBy("region", "v").agg(F.count("*").alias("n"))
-    touch = neighbours(r.select("y", "x", F.col("region").alias("v")), directions).where("v <> v2")
-    pairs = touch.select("v", "v2").unionByName(touch.select(F.col("v2").alias("v"), F.col("v").alias("v2"))).distinct()
-    best = pairs.join(area.select(F.col("region").alias("v2"), F.col("v").alias("to"), "n").where(F.col("n") >= size), "v2").groupBy("v").agg(F.max_by("to", F.struct("n", -F.col("v2"))).alias("to"))
-    small = area.where(F.col("n") < size).join(best.withColumnRenamed("v", "region"), "region").select("region", "to")
-    return r.join(small, "region", "left").select("y", "x", F.coalesce("to", "v").alias("v"))
+    """y, x, v: regions below `size` pixels take the value of their largest neighbour region (the lowest number wins ties). What is still small then goes on, round by
+    round, until every region is large enough or has no neighbour. Of two small neighbours only one moves in a round: the smaller, or that of the higher number."""
+    while True:
+        r = durable(regions(g, directions))
+        area = r.groupBy("region", "v").agg(F.count("*").alias("n"))
+        touch = neighbours(r.select("y", "x", F.col("region").alias("v")), directions).where("v <> v2")
+        pairs = touch.select("v", "v2").unionByName(touch.select(F.col("v2").alias("v"), F.col("v").alias("v2"))).distinct()
+        best = pairs.join(area.select(F.col("region").alias("v2"), F.col("v").alias("to"), "n"), "v2").groupBy("v").agg(F.max(F.struct("n", -F.col("v2"), "to")).alias("b"))
+        small = area.where(F.col("n") < size).join(best.withColumnRenamed("v", "region"), "region")
+        small = durable(small.where(F.struct("n", -F.col("region")) < F.struct(F.col("b")["n"], F.col("b")["col2"])).select("region", F.col("b")["to"].alias("to")))
+        if small.isEmpty():
+            return r.select("y", "x", "v")
+        g = r.join(small, "region", "left").select("y", "x", F.coalesce("to", "v").alias("v"))
 
 
 def polygonize(g: DataFrame, directions: list[tuple[int, int]] = FOUR) -> DataFrame:

@@ -75,9 +75,13 @@ def distinct_values(df: DataFrame, v: str = "v") -> DataFrame:
     return df.where(F.col(v).isNotNull()).select(F.col(v).cast("int").alias("v")).distinct()
 
 
-def reference_pixel(g: DataFrame) -> DataFrame:
-    """The pixel at the centre of gravity of the valid ones."""
-    return g.where("v is not null").agg(F.floor(F.avg("x")).cast("int").alias("ref_x"), F.ceil(F.avg("y")).cast("int").alias("ref_y"))
+def reference_pixel(g: DataFrame, ulx: float | None = None, uly: float = 0.0, dx: float = 1.0, dy: float = 1.0) -> DataFrame:
+    """Position of the lower left corner of the pixel that holds the centre of gravity of the valid ones; with ulx in map units, else in columns and rows."""
+    cx, cy = F.avg("x"), F.avg("y")  # of indices, which lie half a pixel before centres
+    x, y = F.floor(cx + 0.5).cast("double"), (F.floor(cy + 0.5) + 1).cast("double")
+    if ulx is not None:
+        x, y = F.lit(float(ulx)) + x * dx, F.lit(float(uly)) - (F.ceil(cy - 0.5) + 1) * dy
+    return g.where("v is not null").agg(x.alias("ref_x"), y.alias("ref_y"))
 
 
 def errors(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -24,15 +24,30 @@ def inside(px: Column, py: Column, ring: Column) -> Column:
     return F.aggregate(edges, F.lit(False), lambda s, e: s != crosses(e))
 
 
+def crossed(x: Column, y: Column, ring: Column) -> Column:
+    """Whether an edge of the ring enters the open cell from (x, y) to (x + 1, y + 1): their boxes overlap, and corners of the cell lie on both sides of the edge's line."""
+    edges = F.zip_with(F.slice(ring, 1, F.size(ring) - 1), F.slice(ring, 2, F.size(ring) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+    def enters(e: Column) -> Column:
+        a, b = e["a"], e["b"]
+        side = [(b["x"] - a["x"]) * (y + j - a["y"]) - (b["y"] - a["y"]) * (x + i - a["x"]) for i in (0, 1) for j in (0, 1)]
+        box = (F.least(a["x"], b["x"]) < x + 1) & (F.greatest(a["x"], b["x"]) > x) & (F.least(a["y"], b["y"]) < y + 1) & (F.greatest(a["y"], b["y"]) > y)
+        return box & (F.least(*side) < 0) & (F.greatest(*side) > 0)
+
+    return F.exists(edges, enters)
+
+
 def cells_of(zones: DataFrame, height: int, width: int, touched: bool = False) -> DataFrame:
-    """fid, y, x: cells whose centre lies in the zone's ring (touched: also those that hold one of its corners). x and y of a cell's centre are its indices + 0.5."""
-    box = lambda f, g, c: f(F.transform("ring", lambda p: p[c]))
+    """fid, y, x: cells whose centre lies in the zone (touched: also those that an edge crosses). x and y of a cell's centre are its indices + 0.5.
+    A zone is a closed `ring`, or `rings`: outer rings, holes and islands, of which an odd number holds a point inside."""
+    z = zones.select("fid", ("rings" if "rings" in zones.columns else F.array("ring").alias("rings")))
+    box = lambda f, c: f(F.transform(F.flatten("rings"), lambda p: p[c]))
     clip = lambda c, n: F.least(F.greatest(c, F.lit(0)), F.lit(n - 1)).cast("int")
-    z = zones.select("fid", "ring", *[clip(F.floor(box(f, None, c)), n).alias(f"{c}{i}") for c, n in (("x", width), ("y", height)) for i, f in enumerate((F.array_min, F.array_max))])
-    c = z.select("fid", "ring", "x0", "x1", F.explode(F.sequence("y0", "y1")).alias("y")).select("fid", "ring", "y", F.explode(F.sequence("x0", "x1")).alias("x"))
-    test = inside(F.col("x") + 0.5, F.col("y") + 0.5, F.col("ring"))
+    z = z.select("fid", "rings", *[clip(F.floor(box(f, c)), n).alias(f"{c}{i}") for c, n in (("x", width), ("y", height)) for i, f in enumerate((F.array_min, F.array_max))])
+    c = z.select("fid", "rings", "x0", "x1", F.explode(F.sequence("y0", "y1")).alias("y")).select("fid", "rings", "y", F.explode(F.sequence("x0", "x1")).alias("x"))
+    test = F.aggregate("rings", F.lit(False), lambda s, r: s != inside(F.col("x") + 0.5, F.col("y") + 0.5, r))
     if touched:
-        test = test | F.exists("ring", lambda p: (F.floor(p["x"]) == F.col("x")) & (F.floor(p["y"]) == F.col("y")))
+        test = test | F.exists("rings", lambda r: crossed(F.col("x"), F.col("y"), r))
     return c.where(test).select("fid", "y", "x")
 
 
@@ -80,10 +95,14 @@ def rasterize(cells: DataFrame, values: DataFrame, fid: str = "fid", value: str
 
 
 def centroid_cells(zones: DataFrame) -> DataFrame:
-    """fid, y, x: the cell of the mean of the ring's corners."""
-    n = F.size("ring") - 1
-    mean = lambda c: F.aggregate(F.slice("ring", 1, n), F.lit(0.0), lambda s, p: s + p[c]) / n
-    return zones.select("fid", F.floor(mean("y")).cast("int").alias("y"), F.floor(mean("x")).cast("int").alias("x"))
+    """fid, y, x: the cell of the centre of gravity of the ring's area (of its corners, where it has none)."""
+    edges = F.zip_with(F.slice("ring", 1, F.size("ring") - 1), F.slice("ring", 2, F.size("ring") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    cross = lambda e: e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"]
+    area = F.aggregate(edges, F.lit(0.0), lambda s, e: s + cross(e))
+    moment = lambda c: F.aggregate(edges, F.lit(0.0), lambda s, e: s + (e["a"][c] + e["b"][c]) * cross(e))
+    mean = lambda c: F.aggregate(edges, F.lit(0.0), lambda s, e: s + e["a"][c]) / F.size(edges)
+    at = lambda c: F.floor(F.coalesce(F.try_divide(moment(c), 3 * area), mean(c))).cast("int").alias(c)
+    return zones.select("fid", at("y"), at("x"))
 
 
 #: Composites of points that fall in one cell.

@@ -29,7 +29,8 @@ query("o044_buffered_points", X.sql(*BASE, X.POINTS, "SELECT id, round(avg(g.v),
 query("o044_buffered_points_disc", X.sql(*BASE, X.POINTS, "SELECT id, max(g.v) AS max FROM pt JOIN g ON pow(g.y - floor(pt.y), 2) + pow(g.x - floor(pt.x), 2) <= 4 GROUP BY id"))(lambda s, d: Z.zonal(Z.point_cells(X.points(s, d), 2, True), X.grid(s, d), ["max"], "id"))
 query("o045_cells_in_polygons", X.sql(X.ZONES, "SELECT fid, y, x FROM zc"))(_cells)
 query("o046_rasterize", X.sql(X.ZONES, "SELECT y, x, arg_max(fid * 10, fid) AS v FROM zc GROUP BY y, x"))(lambda s, d: Z.rasterize(_cells(s, d), X.zones(s, d).select("fid", (F.col("fid") * 10).alias("value"))))
-query("o046_rasterize_touched")(lambda s, d: Z.cells_of(X.zones(s, d), N, N, touched=True))
+query("o046_rasterize_touched", X.sql(X.ZONES, """tc AS (SELECT fid, CAST(cy AS INTEGER) AS y, CAST(cx AS INTEGER) AS x FROM zn, range(0, 32) a(cx), range(0, 32) b(cy)
+  WHERE cx + 1 > x0 AND cy + 1 > y0 AND CASE WHEN fid % 2 = 0 THEN cx < x0 + 6 AND cy < y0 + 6 ELSE (cx - x0) + (cy - y0) < 7.3 END)""", "SELECT fid, y, x FROM tc"))(lambda s, d: Z.cells_of(X.zones(s, d), N, N, touched=True))
 query("o077_zonal_stats", X.sql(*BASE, X.ZONES, _ZJ, "SELECT fid, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS stdev, median(v) AS median, min(v) AS min, max(v) AS max, sum(v) AS sum, count(v) AS count, round(quantile_cont(v, 0.95), 6) AS percentile FROM z GROUP BY fid"))(
     lambda s, d: _r(Z.zonal(_cells(s, d), X.grid(s, d), ["mean", "stdev", "median", "min", "max", "sum", "count", "percentile"]))
 )

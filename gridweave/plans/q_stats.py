@@ -35,7 +35,8 @@ query("o064_histogram_unit_bins", X.sql(PX, "g AS (SELECT b1 AS v FROM px)", "r
 query("o064_histogram_256", X.sql(PX, "g AS (SELECT b1 AS v FROM px)", "r AS (SELECT min(v) AS lo, max(v) AS hi, CAST(256 AS BIGINT) AS k FROM g)", _H))(lambda s, d: S.histogram(X.pixels(s, d).select(F.col("b1").alias("v")), 256))
 query("o065_extremes_with_position", X.sql(PX, G, "a AS (SELECT * FROM g ORDER BY v, y, x LIMIT 1)", "b AS (SELECT * FROM g ORDER BY v DESC, y, x LIMIT 1)", "SELECT a.v AS min, a.y AS min_y, a.x AS min_x, b.v AS max, b.y AS max_y, b.x AS max_x FROM a, b"))(lambda s, d: S.extremes(X.grid(s, d)))
 query("o066_distinct_values", X.sql(PX, G, "SELECT DISTINCT CAST(v AS INTEGER) AS v FROM g"))(lambda s, d: S.distinct_values(X.grid(s, d)))
-query("o067_reference_pixel", X.sql(PX, G, "SELECT CAST(floor(avg(x)) AS INTEGER) AS ref_x, CAST(ceil(avg(y)) AS INTEGER) AS ref_y FROM g"))(lambda s, d: S.reference_pixel(X.grid(s, d)))
+query("o067_reference_pixel", X.sql(PX, G, "SELECT CAST(floor(sum(x + 1) / count(*) - 0.5::DOUBLE) AS DOUBLE) AS ref_x, 32.0::DOUBLE - (ceil(sum(y + 1) / count(*) - 0.5::DOUBLE - 1) + 1) AS ref_y FROM g"))(lambda s, d: S.reference_pixel(X.grid(s, d), 0.0, 32.0))
+query("o067_reference_pixel_no_position", X.sql(PX, G, "SELECT CAST(floor(sum(x + 1) / count(*) - 0.5::DOUBLE) AS DOUBLE) AS ref_x, CAST(floor(sum(y + 1) / count(*) - 0.5::DOUBLE) + 1 AS DOUBLE) AS ref_y FROM g"))(lambda s, d: S.reference_pixel(X.grid(s, d)))
 query("o068_rmse", X.sql(PX, "SELECT round(sqrt(avg((b0 - b1) ** 2)), 6) AS rmse, round(sqrt(avg((b0 - b1) ** 2)) / (max(b1) - min(b1)), 6) AS nrmse, round(sqrt(avg((b0 - b1) ** 2)) / avg(b1), 6) AS cvrmse FROM px"))(lambda s, d: _r(S.errors(X.pixels(s, d), "b0", "b1")))
 query("o069_covariance", X.sql(PX, "SELECT round(covar_samp(b0, b1), 6) AS cov, round(corr(b0, b1), 6) AS corr FROM px"))(lambda s, d: _r(S.covariance(X.pixels(s, d), "b0", "b1")))
 query("o069_cross_correlation", X.sql(X.SERIES, "p AS (SELECT pixel, t, v AS a, v * 2 + t % 2 AS b FROM se)", "m AS (SELECT avg(a) AS ma, avg(b) AS mb, stddev_pop(a) AS sa, stddev_pop(b) AS sb, count(*) AS n FROM p)",
