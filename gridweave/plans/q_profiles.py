@@ -93,17 +93,21 @@ query_long("o132_filter_columns", keys="k", sql="WITH w AS (SELECT o_custkey AS
 
 def _observed(s, d):
     """Every second day is observed; the model is a fixed season."""
-    return X.series(s, d).select("pixel", "t", F.when(F.col("t") % 2 == 0, F.col("v")).alias("z"), (F.col("t") % 7).cast("double").alias("m"))
+    return X.series(s, d).select("pixel", "t", F.when(F.col("t") % 2 == 0, F.col("v")).alias("z"), (F.col("t") % 7 + 1).cast("double").alias("m"))
+
+
+def _recursion(name: str, order: str) -> str:
+    """The filter over a window of one pixel, as recursive SQL: time update (xp, pp), then the gain."""
+    return f"""ob_{name} AS (SELECT pixel, t, CASE WHEN t % 2 = 0 THEN v END AS z, CAST(t % 7 + 1 AS DOUBLE) AS m, row_number() OVER (PARTITION BY pixel ORDER BY t {order}) AS i FROM se),
+  {name} AS (SELECT pixel, i, t, m, CASE WHEN z IS NULL OR (z - m) * (z - m) > 0.00001::DOUBLE THEN m ELSE z END AS x, 1.0::DOUBLE AS p FROM ob_{name} WHERE i = 1
+  UNION ALL SELECT pixel, i, t, m, CASE WHEN z IS NULL THEN xp ELSE xp + pp / (pp + r) * (z - xp) END, CASE WHEN z IS NULL THEN pp ELSE pp * (1 - pp / (pp + r)) END
+  FROM (SELECT o.pixel, o.i, o.t, o.m, o.z, b.x * (o.m / b.m) AS xp, b.p * (o.m / b.m) * (o.m / b.m) AS pp, greatest((o.z - o.m) * (o.z - o.m), 0.00001::DOUBLE) AS r FROM {name} b JOIN ob_{name} o ON o.pixel = b.pixel AND o.i = b.i + 1))"""
 
 
-_OB = "ob AS (SELECT pixel, t, CASE WHEN t % 2 = 0 THEN v END AS z, CAST(t % 7 AS DOUBLE) AS m, row_number() OVER (PARTITION BY pixel ORDER BY t {o}) AS i FROM se)"
-_REC = """r AS (SELECT pixel, i, t, coalesce(z, m) AS x0, CASE WHEN z IS NULL THEN m ELSE m END AS m, coalesce(z, m) + CASE WHEN z IS NULL THEN 0 ELSE 0 END AS x, CASE WHEN z IS NULL THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS p FROM ob WHERE i = 1
-  UNION ALL SELECT o.pixel, o.i, o.t, 0.0, o.m, CASE WHEN o.z IS NULL THEN r.x + o.m - r.m ELSE (r.x + o.m - r.m) + (r.p + 1) / (r.p + 2) * (o.z - (r.x + o.m - r.m)) END, CASE WHEN o.z IS NULL THEN r.p + 1 ELSE (1 - (r.p + 1) / (r.p + 2)) * (r.p + 1) END FROM r JOIN ob o ON o.pixel = r.pixel AND o.i = r.i + 1)"""
 for _dir, _o in (("forward", ""), ("backward", "DESC")):
-    query(f"o163_kalman_{_dir}", "WITH RECURSIVE " + X.SERIES + ", " + _OB.format(o=_o) + ", " + _REC + " SELECT pixel, t, round(x, 6) AS x, round(p, 6) AS p FROM r")(
+    query(f"o163_kalman_{_dir}", "WITH RECURSIVE " + X.SERIES + ", " + _recursion("r", _o) + " SELECT pixel, t, round(x, 6) AS x, round(p, 6) AS p FROM r")(
         lambda s, d, k=_dir: K.kalman(_observed(s, d), direction=k).select("pixel", "t", F.round("x", 6).alias("x"), F.round("p", 6).alias("p"))
     )
-_RB = _REC.replace("r AS (", "rb AS (", 1).replace("r.", "rb.").replace("FROM r JOIN ob o", "FROM rb JOIN obb o").replace("FROM ob WHERE", "FROM obb WHERE")
-query("o163_kalman_smooth", "WITH RECURSIVE " + X.SERIES + ", " + _OB.format(o="") + ", " + _OB.format(o="DESC").replace("ob AS", "obb AS", 1) + ", " + _REC + ", " + _RB + " SELECT r.pixel, r.t, round((r.x * rb.p + rb.x * r.p) / (r.p + rb.p), 6) AS x, round(r.p * rb.p / (r.p + rb.p), 6) AS p FROM r JOIN rb ON r.pixel = rb.pixel AND r.t = rb.t")(
+query("o163_kalman_smooth", "WITH RECURSIVE " + X.SERIES + ", " + _recursion("r", "") + ", " + _recursion("rb", "DESC") + " SELECT r.pixel, r.t, round(CASE WHEN r.p + rb.p < 0.00001::DOUBLE THEN (r.x + rb.x) / 2 ELSE (r.x * rb.p + rb.x * r.p) / (r.p + rb.p) END, 6) AS x, round(CASE WHEN r.p + rb.p < 0.00001::DOUBLE THEN 0.00001::DOUBLE ELSE r.p * rb.p / (r.p + rb.p) END, 6) AS p FROM r JOIN rb ON r.pixel = rb.pixel AND r.t = rb.t")(
     lambda s, d: K.kalman(_observed(s, d), direction="smooth").select("pixel", "t", F.round("x", 6).alias("x"), F.round("p", 6).alias("p"))
 )

@@ -78,10 +78,102 @@ def test_savgol_keeps_parabolas():
     assert np.isclose(np.dot(t, 2 * x * x + x + 5), 5) and np.isclose(np.dot(profile.savgol_taps(3, 3, 2, 1), 3 * x + 1), 3)
 
 
-def test_kalman_without_noise_follows_the_observations(spark):
-    s = spark.createDataFrame([(1, t, float(t), 0.0) for t in range(5)], "pixel int, t int, z double, m double")
-    got = [r["x"] for r in kalman.kalman(s, r=1e-12).orderBy("t").collect()]
-    assert np.allclose(got, range(5), atol=1e-6)
+def test_kalman_by_hand(spark):
+    rows = [(1, 0, 4.0, 2.0, 5.0, 3.0), (1, 1, None, 4.0, None, None), (1, 2, 5.0, 2.0, 4.0, 1.0), (1, 3, 6.0, None, 6.0, 0.0), (2, 0, 9.0, None, 9.0, 0.0), (2, 1, None, 3.0, None, None), (3, 0, None, None, None, None), (3, 1, None, 2.0, None, None)]
+    s = spark.createDataFrame(rows, "pixel int, t int, z double, m double, mean double, var double")
+    got = {(r["pixel"], r["t"]): (r["x"], r["p"], r["k"]) for r in kalman.kalman(s).collect()}
+    # first: gain 3 / (3 + (5 - 2)^2), from the model; the uncertainty stays
+    assert got[1, 0] == pytest.approx((2.5, 1.0, 0.25))
+    assert got[1, 1] == pytest.approx((5.0, 4.0, 0.0))  # times 4 / 2
+    # times 2 / 4: 2.5 and 1; then the gain is 1 / (1 + (4 - 2)^2)
+    assert got[1, 2] == pytest.approx((3.0, 0.8, 0.2))
+    assert got[1, 3] == pytest.approx((3.0, 1.8, 1.0))  # no model: kept, and no update
+    assert got[2, 0] == pytest.approx((9.0, 1.0, 1.0)) and got[2, 1] == pytest.approx((9.0, 2.0, 0.0))
+    assert got[3, 0] == (None, 100.0, 0.0) and got[3, 1] == pytest.approx((2.0, 1.0, 0.0))
+    held = {(r["pixel"], r["t"]): r["x"] for r in kalman.kalman(s, low=2.2, high=4.5).collect()}
+    assert held[1, 1] == 4.5 and held[1, 2] >= 2.2 and held[2, 0] == 4.5
+    both = {(r["pixel"], r["t"]): (r["x"], r["p"]) for r in kalman.kalman(s, direction="smooth").where("pixel = 3").collect()}
+    assert both == {(3, 0): (2.0, 2.0), (3, 1): (2.0, 0.5)}
+
+
+def test_kalman_windows(spark):
+    rows = [(0, y, x, float(3 * y + x), 1.0) for y in range(3) for x in range(3)]
+    got = {r["pixel"]: r for r in kalman.windowed(spark.createDataFrame(rows, "t int, y int, x int, z double, m double"), 3, 3, 3).collect()}
+    assert got[4]["mean"] == 4.0 and got[4]["var"] == pytest.approx(60 / 9) and got[0]["mean"] == 2.0
+
+
+def brute_pass(a, rise, limit):
+    """The scan, cell by cell."""
+    b, (h, w) = a.copy(), a.shape
+    fold = lambda k, n: -k if k < 0 else 2 * (n - 1) - k if k >= n else k
+    out = np.zeros((h, w), bool)
+    for y in range(h):
+        for x in range(w):
+            near = [b[fold(y + i, h), fold(x + j, w)] for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j]
+            out[y, x] = sum(b[y, x] - v > rise for v in near) <= limit
+            if not out[y, x]:
+                b[y, x] = sorted(near)[1]
+    return out
+
+
+def test_ground_passes_are_the_scan():
+    a = np.random.default_rng(0).integers(0, 12, (7, 9)).astype(float)
+    flips = {"nwse": np.s_[:, :], "nesw": np.s_[:, ::-1], "senw": np.s_[::-1, ::-1], "swne": np.s_[::-1, :]}
+    for d, f in flips.items():
+        assert (focal.ground_pass(a, 2.0, 2, 3, d) == brute_pass(a[f], 2.0, 2)[f]).all()
+    flat = np.zeros((6, 6))
+    flat[2:4, 2:4] = 9.0  # a house
+    assert (focal.ground_mask(flat, (1.0,)) == (flat > 0)).all()
+
+
+def test_line_features_by_hand():
+    a = np.zeros((5, 7))
+    a[2, 1:6] = 1.0  # a line to the east, five cells
+    longest, at_l, shortest, at_s = focal.linear_features(a, 45.0, 10.0, 0.1)
+    assert longest[2, 3] == 4 and at_l[2, 3] == 90 and shortest[2, 3] == 0 and at_s[2, 3] == 0
+    assert longest[2, 1] == 4 and focal.linear_features(a, 45.0, 3.0, 0.1)[0][2, 1] == 2
+
+
+def test_filters_of_ground(spark):
+    rows = np.zeros((9, 9))
+    rows[3:5, 3:5] = 8.0
+    g = raster_of(spark, rows.tolist())
+    for method in ("etew_min", "promorph", "open"):
+        assert (array_of(focal.dem_filter(g, method, 9, 9, largest=5, rise=1.0, slope=0.1), 9, 9) == 0).all()
+    kept = array_of(focal.dem_filter(g, "open", 9, 9, rise=10.0), 9, 9)
+    assert (kept == rows).all()
+
+
+def test_mixed_forest_and_priors_by_hand(spark):
+    g = raster_of(spark, [[11, 11, 11], [12, 13, 13], [20, 20, 30]])
+    assert array_of(focal.focal_mixed(g, 3, 3), 3, 3)[1, 1] == 11.0  # 6 of 9 forest; 3 of 4 pure ones broadleaf
+    assert array_of(focal.focal_mixed(raster_of(spark, [[30, 30, 20], [30, 11, 20], [20, 12, 30]]), 3, 3), 3, 3)[1, 1] == 30.0
+    p = {(r["y"], r["x"]): r["p0"] for r in focal.class_prior(raster_of(spark, [[1, 2, 5], [2, 1, 5], [5, 5, 1]]), 3, 3, [1.0, 2.0], [[0.0, 1.0], [0.5, 0.0]]).collect()}
+    assert p[1, 1] == pytest.approx(np.exp(-2) / (np.exp(-2) + np.exp(-1)))  # two neighbours of class 2, two of class 1
+
+
+def test_reference_pixel(spark):
+    from gridweave.operators import stats
+
+    full = raster_of(spark, np.ones((32, 32)).tolist())
+    assert tuple(stats.reference_pixel(full, 0.0, 32.0).first()) == (16.0, 16.0) and tuple(stats.reference_pixel(full).first()) == (16.0, 17.0)
+
+
+def test_zones_with_holes_touched_cells_and_centroids(spark):
+    ring = lambda *p: [dict(x=float(x), y=float(y)) for x, y in p]
+    outer, hole = ring((0, 0), (6, 0), (6, 6), (0, 6), (0, 0)), ring((2, 2), (4, 2), (4, 4), (2, 4), (2, 2))
+    z = spark.createDataFrame([(1, [outer, hole])], "fid int, rings array<array<struct<x:double,y:double>>>")
+    assert {(r["y"], r["x"]) for r in zonal.cells_of(z, 8, 8).collect()} == {(y, x) for y in range(6) for x in range(6) if not (2 <= y < 4 and 2 <= x < 4)}
+    t = spark.createDataFrame([(1, ring((0.2, 0.2), (3.8, 0.4), (3.8, 0.6), (0.2, 0.2)))], "fid int, ring array<struct<x:double,y:double>>")
+    assert zonal.cells_of(t, 8, 8).count() < 4 and {(r["y"], r["x"]) for r in zonal.cells_of(t, 8, 8, True).collect()} == {(0, x) for x in range(4)}
+    shape = spark.createDataFrame([(1, ring((0, 0), (9, 0), (9, 1), (1, 1), (1, 9), (0, 9), (0, 0)))], "fid int, ring array<struct<x:double,y:double>>")
+    r = zonal.centroid_cells(shape).first()
+    assert (r["y"], r["x"]) == (2, 2)
+
+
+def test_sieve_goes_on_until_nothing_is_small(spark):
+    g = raster_of(spark, [[1, 2, 3, 9, 9], [9, 9, 9, 9, 9]])
+    assert (array_of(regions.sieve(g, 4), 2, 5) == 9).all()
 
 
 def test_composite_weights_and_ties(spark):
