@@ -13,7 +13,7 @@ A part larger than BLOCK (many different vectors that no split tells apart) is d
 
 Defined cases: vectors that are null, zero, of another length than most, or hold null or non-finite components take no part; a query's own id is no candidate for it, whichever
 row has it; of several rows with one id, the one with the least vector (in Spark's order of arrays) is that id's; ties go to the smaller vec_id; fewer candidates than k give fewer
-rows; no rows give no rows; other columns are ignored. Vectors are scaled by a power of two before squares are taken, which changes no cosine and lets none overflow.
+rows; no rows give no rows; other columns are ignored. Very large and very small vectors are scaled by a power of two, which changes no cosine and lets no square overflow.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ RESULT = "qid long, vec_id long, score double"
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id, v (array of double): rows that take part, one an id, scaled by a power of two that brings the largest component near one."""
+    """vec_id, v (array of double): rows that take part, one an id; very large and very small ones are scaled by a power of two."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     rows = rows.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & F.forall("v", fine) & F.exists("v", lambda x: x != 0))
@@ -38,7 +38,8 @@ def usable(vectors: DataFrame) -> DataFrame:
     rows = rows.where(F.size("v") == (most["n"] if most else -1)).groupBy("vec_id").agg(F.min("v").alias("v"))
     exponent = F.floor(F.log2(F.array_max(F.transform("v", F.abs))))
     half = F.floor(exponent / 2)  # in two steps, for powers beyond the range of doubles
-    return rows.select("vec_id", F.transform("v", lambda x: x * F.pow(F.lit(2.0), -half) * F.pow(F.lit(2.0), half - exponent)).alias("v"))
+    odd = F.exists("v", lambda x: F.abs(x) > 1e100) | F.forall("v", lambda x: F.abs(x) < 1e-100)
+    return rows.select("vec_id", F.when(odd, F.transform("v", lambda x: x * F.pow(F.lit(2.0), -half) * F.pow(F.lit(2.0), half - exponent))).otherwise(F.col("v")).alias("v"))
 
 
 def graph(x: np.ndarray, k: int = NEIGHBOURS) -> np.ndarray:
