@@ -32,6 +32,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets the driver notice what it no longer refers to, so that shuffle files and checkpoints of finished steps leave the disk."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def lean(f):
     """A function of batches that gives memory back to the system when a task is done; Python workers live on, and what they hold counts against their executor."""
 
