@@ -81,6 +81,21 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     return (df if steady(df._jdf.queryExecution().optimizedPlan()) else cut(df)).withColumn(name, F.monotonically_increasing_id())
 
 
+def among(df: DataFrame, rid: str, ids: DataFrame, most: int, those: bool = True) -> DataFrame:
+    """The rows of df whose number rid (a long) is among ids (their first column of that name), or, unless those, the other ones. Numbers are packed into
+    bitmaps of 256, so that ids of many rows can be broadcast and the columns of df stay where they are; beyond `most` bitmaps it is a shuffle join."""
+    key, *bits = fresh(df.columns, "__key", "__b0", "__b1", "__b2", "__b3")
+    name = f"`{rid}`"
+    one = f"shiftleft(1L, cast({name} & 63L as int))"
+    packed = cut(ids.groupBy(F.expr(f"shiftright({name}, 8)").alias(key)).agg(*(F.expr(f"bit_or(if((shiftright({name}, 6) & 3L) = {i}L, {one}, 0L))").alias(b) for i, b in enumerate(bits))))
+    if packed.count() > most:
+        return df.join(ids.select(rid).distinct(), rid, "left_semi" if those else "left_anti")
+    word = "case (shiftright({0}, 6) & 3L) when 0L then `{1}` when 1L then `{2}` when 2L then `{3}` else `{4}` end".format(name, *bits)
+    found = F.expr(f"coalesce(({word}) & {one}, 0L) <> 0L")
+    out = df.withColumn(key, F.expr(f"shiftright({name}, 8)")).join(F.broadcast(packed), key, "inner" if those else "left")
+    return out.where(found if those else ~found).select(*(F.col(f"`{c}`") for c in df.columns))
+
+
 def fold(doc_id: str | Column, mod: int) -> Column:
     """crc32 of the id as text, modulo mod (null for a null id)."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

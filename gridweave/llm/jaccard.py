@@ -2,7 +2,8 @@
 
 Prefix filter: in any one order of all shingles, two sets of that similarity share one of the first |s| - ceil(least |s|) + 1 shingles
 of each. The order puts shingles that are common in a bounded sample of texts last, so that a common passage seldom brings texts together;
-it affects the cost alone. Pairs that share such a shingle, and whose sizes and places allow the similarity, are verified by their sets.
+it affects the cost alone. Pairs that share such a shingle, whose sizes and places allow the similarity, and whose bitmaps do, are verified by their sets.
+A bitmap has the parities of the numbers of shingles in BITS buckets: each bit in which two differ is a shingle that only one of the sets has.
 
 A large group of near copies is not compared pair by pair: first each shingle's texts are compared with one of them, drawn by one of DRAWS orders,
 and in further rounds with another, where the links found so far have not joined the two;
@@ -22,10 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chance, cut, lean, tidy
+from . import simhash
+from .common import among, chance, cut, lean, tidy
 from .components import components
 
 WORDS, LEAST, SAMPLE, COMMON, CHUNK, BLOCK, DRAWS, ROUNDS, MOST_BROADCAST = 5, 0.8, 20_000, 100_000, 1_000_000, 2_000, 4, 4, 200_000
+BITS = 512
 _ROW = "tok long, rid long, n int, i int"
 
 
@@ -40,6 +43,12 @@ def shingles(text: str | None, n: int = WORDS) -> np.ndarray:
     return np.unique(np.array([h(b" ".join(words[i : i + n]), 42) for i in range(max(1, len(words) - n + 1))], np.uint64).view(np.int64))
 
 
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """The parities of the numbers of hashes in BITS buckets, as BITS / 64 longs."""
+    odd = np.bincount((s.view(np.uint64) >> np.uint64(20)).astype(np.int64) % BITS, minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -53,7 +62,7 @@ def _sets(n: int):
 
 
 def _prefixes(held, n: int, least: float):
-    """rid, a hash of the set, its size, and its prefix."""
+    """rid, a hash of the set, its size, its prefix and its bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -62,9 +71,10 @@ def _prefixes(held, n: int, least: float):
         for b in batches:
             for i in range(0, b.num_rows, 2000):
                 part = b.slice(i, 2000)
-                made, sizes, keys = [], [], []
+                made, sizes, keys, maps = [], [], [], []
                 for x in part.column(1):
                     s = shingles(x.as_py(), n)
+                    maps.append(bitmap(s))
                     keys.append([xxhash.xxh64_intdigest(s.tobytes(), k) for k in (1, 2)])
                     sizes.append(len(s))
                     if len(s):
@@ -76,7 +86,7 @@ def _prefixes(held, n: int, least: float):
                     made.append(s)
                 keys = np.array(keys, np.uint64).view(np.int64).reshape(-1, 2)
                 at = np.r_[0, np.cumsum([len(s) for s in made])].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy()), pa.array(np.array(sizes, np.int32)), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(made)))], ["rid", "ka", "kb", "n", "p"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy()), pa.array(np.array(sizes, np.int32)), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(made))), pa.ListArray.from_arrays(pa.array(np.arange(len(maps) + 1, dtype=np.int32) * (BITS // 64)), pa.array(np.concatenate(maps)))], ["rid", "ka", "kb", "n", "p", "bits"])
 
     return run
 
@@ -87,7 +97,7 @@ def _by_group(f):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
         for b in batches:
-            held.append([c.to_numpy() for c in b.columns])
+            held.append([c.flatten().to_numpy().reshape(len(c), BITS // 64) if pa.types.is_list(c.type) else c.to_numpy() for c in b.columns])
             if sum(len(x[0]) for x in held) >= CHUNK:
                 cols = [np.concatenate(x) for x in zip(*held)]
                 at = int(np.searchsorted(cols[0], cols[0][-1]))
@@ -100,20 +110,41 @@ def _by_group(f):
     return run
 
 
-def _shared(cols: list) -> Iterator[pa.RecordBatch]:
-    """The rows of shingles that two sets or more have in their prefixes."""
-    tok = cols[0]
-    new = np.r_[True, tok[1:] != tok[:-1]]
-    group = np.cumsum(new) - 1
-    keep = np.bincount(group)[group] > 1
-    yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols], ["tok", "rid", "n", "i"])
-
-
 def _possible(nx, ix, ny, iy, least: float):
     """Whether sets of these sizes can be as similar, if the shingle at these places is the first that they share."""
     return 1 + np.minimum(nx - ix, ny - iy) - 1 >= least / (1 + least) * (nx + ny) - 1e-6
 
 
+def _shared(least: float):
+    """The rows of shingles that two sets or more have in their prefixes, where sizes and places allow the similarity with one of the others."""
+
+    def f(cols: list) -> Iterator[pa.RecordBatch]:
+        tok, _, n, i = cols
+        edges = np.r_[np.flatnonzero(np.r_[True, tok[1:] != tok[:-1]]), len(tok)] if len(tok) else np.zeros(1, np.int64)
+        start, many = edges[:-1], np.diff(edges)
+        keep = np.zeros(len(tok), bool)
+        two = start[many == 2]
+        two = two[_possible(n[two], i[two], n[two + 1], i[two + 1], least)]
+        keep[two] = keep[two + 1] = True
+        for s, m in zip(start[many > 2].tolist(), many[many > 2].tolist()):
+            for x in range(s, s + m, BLOCK):
+                for y in range(x, s + m, BLOCK):
+                    p, q = slice(x, min(x + BLOCK, s + m)), slice(y, min(y + BLOCK, s + m))
+                    ok = _possible(n[p, None], i[p, None], n[None, q], i[None, q], least)
+                    if x == y:
+                        np.fill_diagonal(ok, False)
+                    keep[p] |= ok.any(axis=1)
+                    keep[q] |= ok.any(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols], ["tok", "rid", "n", "i"])
+
+    return f
+
+
+def _near(nx, bx, ny, by, least: float):
+    """Whether sets of these sizes and bitmaps can be as similar."""
+    return np.bitwise_count((bx ^ by).view(np.uint64)).sum(axis=1, dtype=np.int64) <= (1 - least) / (1 + least) * (nx + ny) + 1e-6
+
+
 def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
     return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["a", "b"])
@@ -123,23 +154,25 @@ def _drawn(least: float, salt: int):
     """Pairs of one member of each group with the others: the first in one of DRAWS orders of all texts, by the shingle, so that the shingles of one large family name few texts, not one each."""
 
     def f(cols: list) -> Iterator[pa.RecordBatch]:
-        tok, rid, n, i, label = cols
+        tok, rid, n, i, bits, label = cols
         if not len(tok):
             return
         h = (rid.view(np.uint64) ^ ((tok.view(np.uint64) % np.uint64(DRAWS) + np.uint64(DRAWS * salt)) << np.uint64(54))) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
         order = np.lexsort((rid, h * np.uint64(0xBF58476D1CE4E5B9), tok))
-        tok, rid, n, i, label = (c[order] for c in (tok, rid, n, i, label))
+        tok, rid, n, i, bits, label = (c[order] for c in (tok, rid, n, i, bits, label))
         new = np.r_[True, tok[1:] != tok[:-1]]
         lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-        ok = ~new & (label != label[lead]) & _possible(n, i, n[lead], i[lead], least)
-        yield _pairs(rid[ok], rid[lead][ok])
+        ok = np.flatnonzero(~new & (label != label[lead]) & _possible(n, i, n[lead], i[lead], least))
+        lead = lead[ok]
+        near = _near(n[ok], bits[ok], n[lead], bits[lead], least)
+        yield _pairs(rid[ok][near], rid[lead][near])
 
     return _by_group(f)
 
 
 def _rest(least: float):
-    """Pairs of each group that have not been joined yet. Columns: tok, rid, n, i, label."""
+    """Pairs of each group that have not been joined yet. Columns: tok, rid, n, i, bits, label."""
 
     def f(cols: list) -> Iterator[pa.RecordBatch]:
         tok = cols[0]
@@ -148,7 +181,7 @@ def _rest(least: float):
         for s, e in zip(edges[:-1].tolist(), edges[1:].tolist()):
             if e - s < 3:  # compared already
                 continue
-            _, rid, n, i, label = (c[s:e] for c in cols)
+            _, rid, n, i, bits, label = (c[s:e] for c in cols)
             if (label == label[0]).all():
                 continue
             for x in range(0, e - s, BLOCK):
@@ -157,6 +190,8 @@ def _rest(least: float):
                     ok = (label[p, None] != label[None, q]) & _possible(n[p, None], i[p, None], n[None, q], i[None, q], least)
                     ok = np.triu(ok, 1) if x == y else ok
                     u, v = np.nonzero(ok)
+                    near = np.concatenate([np.empty(0, bool), *(_near(n[p][u[k]], bits[p][u[k]], n[q][v[k]], bits[q][v[k]], least) for k in (slice(a, a + CHUNK // 8) for a in range(0, len(u), CHUNK // 8)))])
+                    u, v = u[near], v[near]
                     if u.size:
                         out.append((rid[p][u], rid[q][v]))
                         many += u.size
@@ -190,11 +225,24 @@ def _small(df: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, docs: DataFrame, n: int, least: float) -> DataFrame:
     """Those of the pairs that are similar. Only their texts are cut into shingles again, so that no table holds all sets."""
     ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct())
-    sets = cut(docs.join(_small(ids), "rid").select("rid", "text").mapInArrow(lean(_sets(n)), "rid long, s array<long>"))
+    sets = cut(among(docs, "rid", ids, MOST_BROADCAST).select("rid", "text").mapInArrow(lean(_sets(n)), "rid long, s array<long>"))
     rows = pairs.join(sets.select(F.col("rid").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("rid").alias("b"), F.col("s").alias("sb")), "b")
     return cut(rows.select("a", "b", "sa", "sb").mapInArrow(lean(_alike(least)), "a long, b long"))
 
 
+def _labels(edges: DataFrame) -> DataFrame:
+    """(rid, root) of the components of edges; a bounded number of edges is joined by the driver, without rounds of shuffles."""
+    if edges.count() > MOST_BROADCAST:
+        return cut(components(edges).select(F.col("node").alias("rid"), "root"))
+    t = edges.toArrow()
+    node, at = np.unique(np.concatenate([t[c].to_numpy() for c in ("a", "b")]), return_inverse=True)
+    label = np.arange(len(node))
+    simhash._join(label, at[: t.num_rows], at[t.num_rows :])
+    while not np.array_equal(label[label], label):
+        label = label[label]
+    return edges.sparkSession.createDataFrame(pa.table({"rid": pa.array(node, pa.int64()), "root": pa.array(node[label], pa.int64())}), "rid long, root long")
+
+
 def near_duplicates(docs: DataFrame, n: int = WORDS, least: float = LEAST) -> DataFrame:
     """rid, c: the least row of its component, for each row of docs (rid, text) with another in its component. docs is read more than once."""
     spark = docs.sparkSession
@@ -202,37 +250,48 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, least: float = LEAST) -> Da
     sample = docs.where(chance(F.col("rid"), 23) < min(1.0, SAMPLE / max(1, docs.count()))).mapInArrow(lean(_sets(n)), "rid long, s array<long>").select(F.explode("s").alias("t"))
     common = sorted((r["t"], r["n"]) for r in sample.groupBy("t").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "t").limit(COMMON).collect())
     held = spark.sparkContext.broadcast((np.array([t for t, _ in common] or [0], np.int64), np.array([k for _, k in common] or [0], np.int64)))
-    rows = cut(docs.mapInArrow(lean(_prefixes(held, n, least)), "rid long, ka long, kb long, n int, p array<long>"))
+    rows = cut(docs.mapInArrow(lean(_prefixes(held, n, least)), "rid long, ka long, kb long, n int, p array<long>, bits array<long>"))
     keys = rows.select("rid", "ka", "kb")
     # cut, so that the join has a shuffle of its own (if any), whose hot partitions can be split
     copies = keys.join(_small(cut(keys.groupBy("ka", "kb").agg(F.min("rid").alias("rep"), F.count("*").alias("many")).where("many > 1").drop("many"))), ["ka", "kb"])
     copies = cut(copies.where("rid <> rep").select("rid", "rep"))
-    each = rows.where("n > 0").join(_small(copies.select("rid")), "rid", "left_anti").select("rid", "n", F.posexplode("p").alias("i", "tok"))
-    shared = each.select("tok", "rid", "n", "i").repartition("tok").sortWithinPartitions("tok", "rid").mapInArrow(lean(_by_group(_shared)), _ROW)
-    shared = cut(shared)  # partitions still hold whole, sorted groups
-    del each, rows, keys
+    single = among(rows.where("n > 0"), "rid", copies, MOST_BROADCAST, those=False)
+    past = edges = spark.createDataFrame([], "a long, b long")
+    labels = _labels(edges)
+    shared = single.select("rid", "n", F.posexplode("p").alias("i", "tok")).select("tok", "rid", "n", "i").repartition("tok").sortWithinPartitions("tok", "rid")
+    shared = cut(shared.mapInArrow(lean(_by_group(_shared(least))), _ROW))  # partitions still hold whole, sorted groups
+    tidy(spark)
+    bits = cut(among(rows, "rid", shared.select("rid").distinct(), MOST_BROADCAST).select("rid", "bits"))
+    del rows, keys, single
     tidy(spark)
-    labels, past, edges = None, None, None
 
-    def labelled() -> DataFrame:
-        if labels is None:
-            return shared.withColumn("label", F.col("rid"))
-        few = labels.count() <= MOST_BROADCAST
-        t = shared.join(F.broadcast(labels) if few else labels, "rid", "left").select("tok", "rid", "n", "i", F.coalesce("root", "rid").alias("label"))
+    def with_rows(t: DataFrame, more: DataFrame, most: int) -> DataFrame:
+        few = more.count() <= most
+        t = t.join(F.broadcast(more) if few else more, "rid", "left")
         # a join with few rows leaves partitions and their order as they are
         return t if few else t.repartition("tok").sortWithinPartitions("tok", "rid")
 
+    shared = cut(with_rows(shared, bits, MOST_BROADCAST // 4))
+    del bits
+
+    def labelled() -> DataFrame:
+        return with_rows(shared, labels, MOST_BROADCAST).select("tok", "rid", "n", "i", "bits", F.coalesce("root", "rid").alias("label"))
+
     for salt in range(ROUNDS):
         pairs = labelled().mapInArrow(lean(_drawn(least, salt)), "a long, b long").distinct()
-        pairs = cut(pairs if past is None else pairs.join(past, ["a", "b"], "left_anti"))
-        if pairs.isEmpty() and past is not None:
+        pairs = cut(pairs.join(past, ["a", "b"], "left_anti"))
+        if pairs.isEmpty():
             break
-        past = pairs if past is None else cut(past.unionByName(pairs))
-        found = _verified(pairs, docs, n, least)
-        edges = found if edges is None else cut(edges.unionByName(found))
-        labels = cut(components(edges).select(F.col("node").alias("rid"), "root"))
+        past = cut(past.unionByName(pairs))
+        edges = cut(edges.unionByName(_verified(pairs, docs, n, least)))
+        labels = _labels(edges)
         tidy(spark)
-    rest = labelled().mapInArrow(lean(_rest(least)), "a long, b long").distinct().join(past, ["a", "b"], "left_anti")
-    more = _verified(cut(rest), docs, n, least)
-    every = edges.unionByName(more).unionByName(copies.select(F.col("rid").alias("a"), F.col("rep").alias("b")))
-    return components(every).select(F.col("node").alias("rid"), F.col("root").alias("c"))
+    rest = cut(labelled().mapInArrow(lean(_rest(least)), "a long, b long").distinct().join(past, ["a", "b"], "left_anti"))
+    if not rest.isEmpty():
+        labels = _labels(cut(edges.unionByName(_verified(rest, docs, n, least))))
+    # the least row of equal sets stands for them
+    named = labels.select("rid", F.col("root").alias("c"))
+    few = F.broadcast(labels) if labels.count() <= MOST_BROADCAST else labels
+    each = copies.select("rid", "rep").unionByName(copies.select(F.col("rep").alias("rid"), "rep").distinct())
+    each = each.join(few.select(F.col("rid").alias("rep"), "root"), "rep", "left").select("rid", F.coalesce("root", "rep").alias("c"))
+    return cut(named.unionByName(each).distinct())

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, numbered, table
+from .common import among, cut, fresh, numbered, table
 from .components import components
 
 RADIUS, SHINGLE, SHARD, QUERIES, CHUNK, MOST_BROADCAST = 3, 3, 512, 5_000, 1_000_000, 200_000
@@ -185,8 +185,7 @@ def one_of_each(docs: DataFrame, n: int = SHINGLE, radius: int = RADIUS, found=N
     # one row a task and component reaches the shuffle, however many copies a component has
     stays = groups.groupBy("c").agg(F.min_by("rid", F.struct(F.col("id").isNull(), "id", "rid")).alias("rid"))
     gone = cut(groups.select(F.col("rid").alias(rid)).join(stays.select(F.col("rid").alias(rid)), rid, "left_anti"))
-    gone = F.broadcast(gone) if gone.count() <= MOST_BROADCAST else gone
-    return rows.join(gone, rid, "left_anti").drop(rid)
+    return among(rows, rid, gone, MOST_BROADCAST, those=False).drop(rid)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
