@@ -28,7 +28,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays, that of the smallest id; texts are linked from a similarity of 0.8 of their five-word shingles."""
+    """One document of each component stays, that of the smallest id. SimHash and its BK-trees link texts by five-word shingles, links are verified at a similarity of 0.8, and an exact search adds those of that similarity that no radius covers."""
     return simhash.one_of_each(docs, found=jaccard.near_duplicates)
 
 

@@ -1,5 +1,8 @@
 """Near-duplicates by shingles: texts whose sets of n-word shingles have a Jaccard similarity of `least` or more, joined exactly.
 
+SimHash first: fingerprints of the same shingles are linked within RADIUS bits through sharded BK-trees (simhash.py), and the links are verified by the sets.
+No radius covers the similarity, so an exact search follows, for what the fingerprints have not joined:
+
 Prefix filter: in any one order of all shingles, two sets of that similarity share one of the first |s| - ceil(least |s|) + 1 shingles
 of each. The order puts shingles that are common in a bounded sample of texts last, so that a common passage seldom brings texts together;
 it affects the cost alone. Pairs that share such a shingle, whose sizes and places allow the similarity, and whose bitmaps do, are verified by their sets.
@@ -28,19 +31,13 @@ from .common import among, chance, cut, lean, tidy
 from .components import components
 
 WORDS, LEAST, SAMPLE, COMMON, CHUNK, BLOCK, DRAWS, ROUNDS, MOST_BROADCAST = 5, 0.8, 20_000, 100_000, 1_000_000, 2_000, 4, 4, 200_000
-BITS = 512
+RADIUS, BITS = 6, 512
 _ROW = "tok long, rid long, n int, i int"
 
 
 def shingles(text: str | None, n: int = WORDS) -> np.ndarray:
     """Sorted distinct hashes, as signed longs."""
-    import xxhash
-
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes: A-Z alone, and ASCII white space alone
-    if not words:
-        return np.empty(0, np.int64)
-    h = xxhash.xxh64_intdigest
-    return np.unique(np.array([h(b" ".join(words[i : i + n]), 42) for i in range(max(1, len(words) - n + 1))], np.uint64).view(np.int64))
+    return np.unique(simhash.digests(text, n).view(np.int64))
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
@@ -62,7 +59,7 @@ def _sets(n: int):
 
 
 def _prefixes(held, n: int, least: float):
-    """rid, a hash of the set, its size, its prefix and its bitmap."""
+    """rid, a hash of the set, its size, its prefix, its bitmap and the text's fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -71,10 +68,12 @@ def _prefixes(held, n: int, least: float):
         for b in batches:
             for i in range(0, b.num_rows, 2000):
                 part = b.slice(i, 2000)
-                made, sizes, keys, maps = [], [], [], []
+                made, sizes, keys, maps, fps = [], [], [], [], []
                 for x in part.column(1):
-                    s = shingles(x.as_py(), n)
+                    h = simhash.digests(x.as_py(), n)
+                    s = np.unique(h.view(np.int64))
                     maps.append(bitmap(s))
+                    fps.append(simhash.majority(h))
                     keys.append([xxhash.xxh64_intdigest(s.tobytes(), k) for k in (1, 2)])
                     sizes.append(len(s))
                     if len(s):
@@ -86,7 +85,7 @@ def _prefixes(held, n: int, least: float):
                     made.append(s)
                 keys = np.array(keys, np.uint64).view(np.int64).reshape(-1, 2)
                 at = np.r_[0, np.cumsum([len(s) for s in made])].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy()), pa.array(np.array(sizes, np.int32)), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(made))), pa.ListArray.from_arrays(pa.array(np.arange(len(maps) + 1, dtype=np.int32) * (BITS // 64)), pa.array(np.concatenate(maps)))], ["rid", "ka", "kb", "n", "p", "bits"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy()), pa.array(np.array(sizes, np.int32)), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(made))), pa.ListArray.from_arrays(pa.array(np.arange(len(maps) + 1, dtype=np.int32) * (BITS // 64)), pa.array(np.concatenate(maps))), pa.array(np.array(fps, np.uint64).view(np.int64))], ["rid", "ka", "kb", "n", "p", "bits", "fp"])
 
     return run
 
@@ -243,21 +242,34 @@ def _labels(edges: DataFrame) -> DataFrame:
     return edges.sparkSession.createDataFrame(pa.table({"rid": pa.array(node, pa.int64()), "root": pa.array(node[label], pa.int64())}), "rid long, root long")
 
 
-def near_duplicates(docs: DataFrame, n: int = WORDS, least: float = LEAST) -> DataFrame:
+def _by_fingerprint(rows: DataFrame, radius: int) -> DataFrame:
+    """Pairs of rows (rid, fp) with equal fingerprints, or with such that a BK-tree finds within the radius: one for each row at most, in each shard."""
+    least = cut(rows.groupBy("fp").agg(F.min("rid").alias("lead"), F.count("*").alias("many")))
+    equal = rows.join(_small(least.where("many > 1").select("fp", "lead")), "fp").where("rid <> lead").select(F.col("lead").alias("a"), F.col("rid").alias("b"))
+    links = cut(simhash.links(least.select("fp"), radius, direct=True).distinct())
+    for end in ("a", "b"):
+        links = links.join(least.select(F.col("fp").alias(end), F.col("lead").alias(f"r{end}")), end)
+    near = links.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
+    return cut(near.unionByName(equal).distinct())
+
+
+def near_duplicates(docs: DataFrame, n: int = WORDS, least: float = LEAST, radius: int = RADIUS) -> DataFrame:
     """rid, c: the least row of its component, for each row of docs (rid, text) with another in its component. docs is read more than once."""
     spark = docs.sparkSession
     docs = docs.select(F.col("rid").cast("long").alias("rid"), "text")
     sample = docs.where(chance(F.col("rid"), 23) < min(1.0, SAMPLE / max(1, docs.count()))).mapInArrow(lean(_sets(n)), "rid long, s array<long>").select(F.explode("s").alias("t"))
     common = sorted((r["t"], r["n"]) for r in sample.groupBy("t").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "t").limit(COMMON).collect())
     held = spark.sparkContext.broadcast((np.array([t for t, _ in common] or [0], np.int64), np.array([k for _, k in common] or [0], np.int64)))
-    rows = cut(docs.mapInArrow(lean(_prefixes(held, n, least)), "rid long, ka long, kb long, n int, p array<long>, bits array<long>"))
+    rows = cut(docs.mapInArrow(lean(_prefixes(held, n, least)), "rid long, ka long, kb long, n int, p array<long>, bits array<long>, fp long"))
     keys = rows.select("rid", "ka", "kb")
     # cut, so that the join has a shuffle of its own (if any), whose hot partitions can be split
     copies = keys.join(_small(cut(keys.groupBy("ka", "kb").agg(F.min("rid").alias("rep"), F.count("*").alias("many")).where("many > 1").drop("many"))), ["ka", "kb"])
     copies = cut(copies.where("rid <> rep").select("rid", "rep"))
     single = among(rows.where("n > 0"), "rid", copies, MOST_BROADCAST, those=False)
-    past = edges = spark.createDataFrame([], "a long, b long")
+    past = _by_fingerprint(single.select("rid", "fp"), radius)
+    edges = _verified(past, docs, n, least)
     labels = _labels(edges)
+    tidy(spark)
     shared = single.select("rid", "n", F.posexplode("p").alias("i", "tok")).select("tok", "rid", "n", "i").repartition("tok").sortWithinPartitions("tok", "rid")
     shared = cut(shared.mapInArrow(lean(_by_group(_shared(least))), _ROW))  # partitions still hold whole, sorted groups
     tidy(spark)

@@ -34,17 +34,24 @@ from .components import components
 RADIUS, SHINGLE, SHARD, QUERIES, CHUNK, MOST_BROADCAST = 3, 3, 512, 5_000, 1_000_000, 200_000
 
 
-def fingerprint(text: str | None, n: int = SHINGLE) -> int:
-    """64 bits: each set if it is set in over half of the XXH64 values (seed 42) of the n-word shingles."""
+def digests(text: str | None, n: int = SHINGLE) -> np.ndarray:
+    """XXH64 values (seed 42) of the n-word shingles, repeats included; a text of fewer words is one shingle, one of none has none."""
     import xxhash
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes: A-Z alone, and ASCII white space alone
-    if not words:
-        return 0
     h = xxhash.xxh64_intdigest
-    digests = [h(b" ".join(words[i : i + n]), 42) for i in range(max(1, len(words) - n + 1))]
-    bits = np.unpackbits(np.array(digests, dtype=">u8").view(np.uint8).reshape(-1, 8), axis=1)
-    return int.from_bytes(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(digests)).tobytes(), "big")
+    return np.array([h(b" ".join(words[i : i + n]), 42) for i in range(max(1, len(words) - n + 1))] if words else [], np.uint64)
+
+
+def majority(values: np.ndarray) -> int:
+    """64 bits: each set if it is set in over half of the values."""
+    bits = np.unpackbits(values.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+    return int.from_bytes(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(values)).tobytes(), "big")
+
+
+def fingerprint(text: str | None, n: int = SHINGLE) -> int:
+    """The majority of the n-word shingles' values, bit by bit."""
+    return majority(digests(text, n))
 
 
 def _fingerprints(n: int):
@@ -70,9 +77,9 @@ def blocks(radius: int, n: int, shard: int = SHARD) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def bk_links(shard: np.ndarray, fp: np.ndarray, radius: int) -> np.ndarray:
-    """Index of the least linked member for each of fp (distinct within a shard). shard: sorted ids. The BK-trees of all shards are
-    built level by level: the first of each group becomes a node, the rest part by their distance to it."""
+def bk_links(shard: np.ndarray, fp: np.ndarray, radius: int, direct: bool = False) -> np.ndarray:
+    """Index of the least linked member for each of fp (distinct within a shard); if direct, of the least within the radius. shard: sorted ids. The BK-trees
+    of all shards are built level by level: the first of each group becomes a node, the rest part by their distance to it."""
     n, label = len(fp), np.arange(len(fp))
     if not n:
         return label
@@ -100,13 +107,16 @@ def bk_links(shard: np.ndarray, fp: np.ndarray, radius: int) -> np.ndarray:
         while q.size:
             d = np.bitwise_count(fp[q] ^ fp[at]).astype(np.int64)
             hit = (d <= radius) & (q != at)
-            _join(label, q[hit], at[hit])
+            if direct:
+                np.minimum.at(label, q[hit], at[hit])
+            else:
+                _join(label, q[hit], at[hit])
             lo = np.searchsorted(keys, at * 65 + np.maximum(d - radius, 1))
             hi = np.searchsorted(keys, at * 65 + np.minimum(d + radius, 64), side="right")
             many = np.maximum(hi - lo, 0)
             q, base = np.repeat(q, many), np.repeat(lo - np.r_[0, np.cumsum(many)[:-1]], many)
             at = child[base + np.arange(len(q))]
-    while (up := label[label]).tolist() != label.tolist():
+    while not direct and (up := label[label]).tolist() != label.tolist():
         label = up
     return label
 
@@ -125,13 +135,13 @@ def _join(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
         np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
 
 
-def _edges(radius: int):
+def _edges(radius: int, direct: bool = False):
     def links(k: np.ndarray, m: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
         first = np.r_[True, (k[1:] != k[:-1]) | (m[1:] != m[:-1])]
         shard = np.cumsum(first)
         keep = np.bincount(shard)[shard] > 1
         fp, shard = fp[keep], shard[keep]
-        label = bk_links(shard, fp.view(np.uint64), radius)
+        label = bk_links(shard, fp.view(np.uint64), radius, direct)
         moved = label != np.arange(len(label))
         return pa.RecordBatch.from_arrays([pa.array(fp[moved]), pa.array(fp[label[moved]])], ["a", "b"])
 
@@ -158,13 +168,17 @@ def fingerprints(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints(n), "doc_id long, fp long")
 
 
+def links(each: DataFrame, radius: int = RADIUS, direct: bool = False) -> DataFrame:
+    """(a, b): edges that join each (fp, distinct) with all within the radius; if direct, only such as lie within it themselves, which may leave a cluster in parts."""
+    masks = [F.struct(F.lit(i).alias("k"), F.col("fp").bitwiseAND(F.lit(m)).alias("m")) for i, m in enumerate(blocks(radius, each.count()))]
+    shards = each.select("fp", F.explode(F.array(*masks)).alias("s")).select("s.k", "s.m", "fp")
+    return shards.repartition("k", "m").sortWithinPartitions("k", "m", "fp").mapInArrow(_edges(radius, direct), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, n: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp, component_id for each row of docs (doc_id, text)."""
     rows = cut(fingerprints(docs, n))
-    each = cut(rows.select("fp").distinct())
-    masks = [F.struct(F.lit(i).alias("k"), F.col("fp").bitwiseAND(F.lit(m)).alias("m")) for i, m in enumerate(blocks(radius, each.count()))]
-    shards = each.select("fp", F.explode(F.array(*masks)).alias("s")).select("s.k", "s.m", "fp")
-    edges = shards.repartition("k", "m").sortWithinPartitions("k", "m", "fp").mapInArrow(_edges(radius), "a long, b long")
+    edges = links(cut(rows.select("fp").distinct()), radius)
     roots = components(edges).withColumnRenamed("node", "fp")
     ids = rows.groupBy("fp").agg(F.min("doc_id").alias("least")).join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = cut(ids)
