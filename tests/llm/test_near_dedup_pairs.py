@@ -8,8 +8,8 @@ from gridweave.llm import jaccard, simhash
 from gridweave.llm.common import among
 
 
-def family(many=150, changed=5, seed=7):
-    """Copies of one text, each with words of its own: pairs share about 0.6 of their shingles, a few are exact or near copies."""
+def family(many=150, changed=4, seed=7):
+    """Copies of one text, each with words of its own: pairs have a similarity of about two thirds, a few are exact or near copies."""
     rng = random.Random(seed)
     base = [f"w{rng.randrange(3000)}" for _ in range(200)]
     out = []
@@ -46,7 +46,7 @@ def test_texts_below_the_similarity_are_seldom_verified(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "_verified", lambda pairs, *a: seen.append(pairs.count()) or real(pairs, *a))
     got = {r["rid"]: r["c"] for r in jaccard.near_duplicates(spark.createDataFrame(list(enumerate(rows)), "rid long, text string").repartition(3)).collect()}
     want = brute(rows)
-    assert [got.get(i, i) for i in range(len(rows))] == want and len(set(want)) == 150
+    assert [got.get(i, i) for i in range(len(rows))] == want and len(set(want)) > 140
     assert sum(seen) < 600  # of 13,530 pairs of different texts
 
 
