@@ -7,6 +7,8 @@ Prefix filter: in any one order of all shingles, two sets of that similarity sha
 of each. The order puts shingles that are common in a bounded sample of texts last, so that a common passage seldom brings texts together;
 it affects the cost alone. Pairs that share such a shingle, whose sizes and places allow the similarity, and whose bitmaps do, are verified by their sets.
 A bitmap has the parities of the numbers of shingles in BITS buckets: each bit in which two differ is a shingle that only one of the sets has.
+BITS buckets tell nothing of long texts, so pairs of these are compared by bitmaps of two to four bits a shingle before their sets are brought together,
+which are some twenty times as large. Pairs are brought together in slices of a bounded size, so that the disk they take does not grow with their number.
 
 A large group of near copies is not compared pair by pair: first each shingle's texts are compared with one of them, drawn by one of DRAWS orders,
 and in further rounds with another, where the links found so far have not joined the two;
@@ -31,7 +33,7 @@ from .common import among, chance, cut, lean, tidy
 from .components import components
 
 WORDS, LEAST, SAMPLE, COMMON, CHUNK, BLOCK, DRAWS, ROUNDS, MOST_BROADCAST = 5, 0.8, 20_000, 100_000, 1_000_000, 2_000, 4, 4, 200_000
-RADIUS, BITS = 6, 512
+RADIUS, BITS, SLICE = 6, 512, 50_000
 _ROW = "tok long, rid long, n int, i int"
 
 
@@ -40,12 +42,26 @@ def shingles(text: str | None, n: int = WORDS) -> np.ndarray:
     return np.unique(simhash.digests(text, n).view(np.int64))
 
 
-def bitmap(s: np.ndarray) -> np.ndarray:
-    """The parities of the numbers of hashes in BITS buckets, as BITS / 64 longs."""
-    odd = np.bincount((s.view(np.uint64) >> np.uint64(20)).astype(np.int64) % BITS, minlength=BITS) & 1
+def bitmap(s: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """The parities of the numbers of hashes in so many buckets, as bits / 64 longs."""
+    odd = np.bincount((s.view(np.uint64) >> np.uint64(20)).astype(np.int64) % bits, minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def wide(s: np.ndarray) -> np.ndarray | None:
+    """A bitmap of two to four bits a hash, a power of two; None where BITS are as many."""
+    return bitmap(s, 1 << (2 * len(s) - 1).bit_length()) if 2 * len(s) > BITS else None
+
+
+def differing(x: np.ndarray, y: np.ndarray) -> int:
+    """The bits in which two bitmaps differ. The larger one is folded: buckets that become one have the parity of their sum."""
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count((x ^ y).view(np.uint64)).sum(dtype=np.int64))
+
+
 def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -59,7 +75,7 @@ def _sets(n: int):
 
 
 def _prefixes(held, n: int, least: float):
-    """rid, a hash of the set, its size, its prefix, its bitmap and the text's fingerprint."""
+    """rid, a hash of the set, its size, its prefix, its bitmaps and the text's fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -68,11 +84,12 @@ def _prefixes(held, n: int, least: float):
         for b in batches:
             for i in range(0, b.num_rows, 2000):
                 part = b.slice(i, 2000)
-                made, sizes, keys, maps, fps = [], [], [], [], []
+                made, sizes, keys, maps, wides, fps = [], [], [], [], [], []
                 for x in part.column(1):
                     h = simhash.digests(x.as_py(), n)
                     s = np.unique(h.view(np.int64))
                     maps.append(bitmap(s))
+                    wides.append(wide(s))
                     fps.append(simhash.majority(h))
                     keys.append([xxhash.xxh64_intdigest(s.tobytes(), k) for k in (1, 2)])
                     sizes.append(len(s))
@@ -85,7 +102,7 @@ def _prefixes(held, n: int, least: float):
                     made.append(s)
                 keys = np.array(keys, np.uint64).view(np.int64).reshape(-1, 2)
                 at = np.r_[0, np.cumsum([len(s) for s in made])].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy()), pa.array(np.array(sizes, np.int32)), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(made))), pa.ListArray.from_arrays(pa.array(np.arange(len(maps) + 1, dtype=np.int32) * (BITS // 64)), pa.array(np.concatenate(maps))), pa.array(np.array(fps, np.uint64).view(np.int64))], ["rid", "ka", "kb", "n", "p", "bits", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy()), pa.array(np.array(sizes, np.int32)), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(made))), pa.ListArray.from_arrays(pa.array(np.arange(len(maps) + 1, dtype=np.int32) * (BITS // 64)), pa.array(np.concatenate(maps))), pa.array(wides, pa.list_(pa.int64())), pa.array(np.array(fps, np.uint64).view(np.int64))], ["rid", "ka", "kb", "n", "p", "bits", "wide", "fp"])
 
     return run
 
@@ -217,16 +234,59 @@ def _alike(least: float):
     return run
 
 
+def _likely(least: float):
+    """Pairs whose wide bitmaps allow the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = b.column(2).to_numpy().astype(np.int64) + b.column(3).to_numpy()
+            x, y = b.column(4), b.column(5)
+            keep = [differing(x[k].values.to_numpy(), y[k].values.to_numpy()) <= (1 - least) / (1 + least) * int(n[k]) + 1e-6 for k in range(b.num_rows)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _sliced(pairs: DataFrame, most: int, f) -> DataFrame:
+    """f of the pairs (checkpointed), of about `most` at a time; what one slice has shuffled leaves the disk before the next."""
+    k = -(-pairs.count() // most)
+    if k < 2:
+        return f(pairs)
+    out = None
+    for i in range(k):
+        made = f(pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(k)) == i))
+        out = made if out is None else out.unionByName(made)
+        tidy(pairs.sparkSession)
+    return cut(out)
+
+
+def _likely_pairs(pairs: DataFrame, wides: DataFrame, most: int, least: float) -> DataFrame:
+    """Those of the pairs whose wide bitmaps (rid, n, wide; of long texts) allow the similarity, and those that have none."""
+    ends = [wides.select(F.col("rid").alias(e), F.col("n").alias(f"n{e}"), F.col("wide").alias(f"w{e}")) for e in ("a", "b")]
+
+    def likely(part: DataFrame) -> DataFrame:
+        part = part.join(ends[0], "a", "left").join(ends[1], "b", "left")
+        both = F.col("wa").isNotNull() & F.col("wb").isNotNull()
+        long = part.where(both).select("a", "b", "na", "nb", "wa", "wb").mapInArrow(lean(_likely(least)), "a long, b long")
+        return cut(long.unionByName(part.where(~both).select("a", "b")))
+
+    return _sliced(pairs, most, likely)
+
+
 def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, n: int, least: float) -> DataFrame:
-    """Those of the pairs that are similar. Only their texts are cut into shingles again, so that no table holds all sets."""
-    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct())
-    sets = cut(among(docs, "rid", ids, MOST_BROADCAST).select("rid", "text").mapInArrow(lean(_sets(n)), "rid long, s array<long>"))
-    rows = pairs.join(sets.select(F.col("rid").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("rid").alias("b"), F.col("s").alias("sb")), "b")
-    return cut(rows.select("a", "b", "sa", "sb").mapInArrow(lean(_alike(least)), "a long, b long"))
+def _verified(pairs: DataFrame, docs: DataFrame, most: int, n: int, least: float) -> DataFrame:
+    """Those of the pairs that are similar, about `most` at a time. Only their texts are cut into shingles again, so that no table holds all sets."""
+
+    def verified(part: DataFrame) -> DataFrame:
+        ids = cut(part.select(F.explode(F.array("a", "b")).alias("rid")).distinct())
+        sets = cut(among(docs, "rid", ids, MOST_BROADCAST).select("rid", "text").mapInArrow(lean(_sets(n)), "rid long, s array<long>"))
+        rows = part.join(sets.select(F.col("rid").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("rid").alias("b"), F.col("s").alias("sb")), "b")
+        return cut(rows.select("a", "b", "sa", "sb").mapInArrow(lean(_alike(least)), "a long, b long"))
+
+    return _sliced(pairs, most, verified)
 
 
 def _labels(edges: DataFrame) -> DataFrame:
@@ -257,24 +317,28 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, least: float = LEAST, radiu
     """rid, c: the least row of its component, for each row of docs (rid, text) with another in its component. docs is read more than once."""
     spark = docs.sparkSession
     docs = docs.select(F.col("rid").cast("long").alias("rid"), "text")
-    sample = docs.where(chance(F.col("rid"), 23) < min(1.0, SAMPLE / max(1, docs.count()))).mapInArrow(lean(_sets(n)), "rid long, s array<long>").select(F.explode("s").alias("t"))
+    size = docs.count()
+    # slices grow with docs, so that their number, and the reading of docs for each, grows with the pairs a text has
+    few_maps, few_sets = max(20 * SLICE, size), max(SLICE, size // 16)
+    sample = docs.where(chance(F.col("rid"), 23) < min(1.0, SAMPLE / max(1, size))).mapInArrow(lean(_sets(n)), "rid long, s array<long>").select(F.explode("s").alias("t"))
     common = sorted((r["t"], r["n"]) for r in sample.groupBy("t").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "t").limit(COMMON).collect())
     held = spark.sparkContext.broadcast((np.array([t for t, _ in common] or [0], np.int64), np.array([k for _, k in common] or [0], np.int64)))
-    rows = cut(docs.mapInArrow(lean(_prefixes(held, n, least)), "rid long, ka long, kb long, n int, p array<long>, bits array<long>, fp long"))
+    rows = cut(docs.mapInArrow(lean(_prefixes(held, n, least)), "rid long, ka long, kb long, n int, p array<long>, bits array<long>, wide array<long>, fp long"))
     keys = rows.select("rid", "ka", "kb")
     # cut, so that the join has a shuffle of its own (if any), whose hot partitions can be split
     copies = keys.join(_small(cut(keys.groupBy("ka", "kb").agg(F.min("rid").alias("rep"), F.count("*").alias("many")).where("many > 1").drop("many"))), ["ka", "kb"])
     copies = cut(copies.where("rid <> rep").select("rid", "rep"))
     single = among(rows.where("n > 0"), "rid", copies, MOST_BROADCAST, those=False)
     past = _by_fingerprint(single.select("rid", "fp"), radius)
-    edges = _verified(past, docs, n, least)
+    edges = _verified(past, docs, few_sets, n, least)
     labels = _labels(edges)
     tidy(spark)
     shared = single.select("rid", "n", F.posexplode("p").alias("i", "tok")).select("tok", "rid", "n", "i").repartition("tok").sortWithinPartitions("tok", "rid")
     shared = cut(shared.mapInArrow(lean(_by_group(_shared(least))), _ROW))  # partitions still hold whole, sorted groups
     tidy(spark)
-    bits = cut(among(rows, "rid", shared.select("rid").distinct(), MOST_BROADCAST).select("rid", "bits"))
-    del rows, keys, single
+    both = among(rows, "rid", cut(shared.select("rid").distinct()), MOST_BROADCAST)
+    bits, wides = cut(both.select("rid", "bits")), cut(both.where("wide is not null").select("rid", "n", "wide"))
+    del rows, keys, single, both
     tidy(spark)
 
     def with_rows(t: DataFrame, more: DataFrame, most: int) -> DataFrame:
@@ -295,12 +359,12 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, least: float = LEAST, radiu
         if pairs.isEmpty():
             break
         past = cut(past.unionByName(pairs))
-        edges = cut(edges.unionByName(_verified(pairs, docs, n, least)))
+        edges = cut(edges.unionByName(_verified(_likely_pairs(pairs, wides, few_maps, least), docs, few_sets, n, least)))
         labels = _labels(edges)
         tidy(spark)
     rest = cut(labelled().mapInArrow(lean(_rest(least)), "a long, b long").distinct().join(past, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
-        labels = _labels(cut(edges.unionByName(_verified(rest, docs, n, least))))
+        labels = _labels(cut(edges.unionByName(_verified(_likely_pairs(rest, wides, few_maps, least), docs, few_sets, n, least))))
     # the least row of equal sets stands for them
     named = labels.select("rid", F.col("root").alias("c"))
     few = F.broadcast(labels) if labels.count() <= MOST_BROADCAST else labels
