@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 
+def ratio(x: Column, y: Column) -> Column:
+    """x / y of doubles as IEEE has it: by zero it is infinite, zero by zero NaN."""
+    return F.when(y == 0, x * float("inf")).otherwise(F.try_divide(x, y))
+
+
 def describe(df: DataFrame, v: str = "v", moments: tuple = (3, 4)) -> DataFrame:
     """One row of count, extremes (also by magnitude), sum, mean, median, population variance, deviation, skewness, excess kurtosis, raw moments."""
     c = F.col(v)
@@ -55,13 +60,13 @@ def histogram2d(df: DataFrame, a: str, b: str, nbin: int) -> DataFrame:
 
 
 def kernel_density(df: DataFrame, nbin: int, sigma: float | None = None, v: str = "v") -> DataFrame:
-    """bin, x, density: Gaussian kernels (sigma: 1.06 sd n ** -0.2 if not given) around each distinct value, weighed by its count."""
+    """bin, x, density: Gaussian kernels (sigma: 1.06 sd n ** -0.2 if not given) around each distinct value, weighed by its count; NaN where all values are equal, for sigma is zero then."""
     r = df.agg(F.min(v).alias("lo"), F.max(v).alias("hi"), F.count(v).alias("n"), F.stddev_pop(v).alias("sd"))
     r = r.withColumn("s", F.lit(sigma) if sigma else F.col("sd") * 1.06 * F.pow("n", F.lit(-0.2)))
     by = df.where(F.col(v).isNotNull()).groupBy(F.col(v).alias("v")).agg(F.count("*").alias("m"))
     x = by.join(F.broadcast(r)).withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(nbin - 1)))).withColumn("x", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("bin") / (nbin - 1))
-    z = (F.col("v") - F.col("x")) / F.col("s")
-    return x.groupBy("bin").agg(F.first("x").alias("x"), (F.sum(F.col("m") * F.exp(-0.5 * z * z) / (F.col("s") * (2 * 3.141592653589793) ** 0.5)) / F.first("n")).alias("density"))
+    z = ratio(F.col("v") - F.col("x"), F.col("s"))
+    return x.groupBy("bin").agg(F.first("x").alias("x"), (F.sum(ratio(F.col("m") * F.exp(-0.5 * z * z), F.col("s") * (2 * 3.141592653589793) ** 0.5)) / F.first("n")).alias("density"))
 
 
 def extremes(g: DataFrame) -> DataFrame:
