@@ -53,9 +53,9 @@ def histogram(df: DataFrame, nbin: int, v: str = "v", lo: float | None = None, h
 
 
 def histogram2d(df: DataFrame, a: str, b: str, nbin: int) -> DataFrame:
-    """bx, by, n; the largest value falls in the last bin."""
+    """bx, by, n; the largest value falls in the last bin, so that one value alone does too."""
     r = df.agg(F.min(a).alias("a0"), F.max(a).alias("a1"), F.min(b).alias("b0_"), F.max(b).alias("b1_"))
-    at = lambda v, lo, hi: F.least(F.lit(nbin - 1), F.floor((F.col(v) - F.col(lo)) * nbin / (F.col(hi) - F.col(lo)))).cast("int")
+    at = lambda v, lo, hi: F.when(F.col(hi) > F.col(lo), F.least(F.lit(nbin - 1), F.floor(F.try_divide((F.col(v) - F.col(lo)) * nbin, F.col(hi) - F.col(lo))))).otherwise(nbin - 1).cast("int")
     return df.join(F.broadcast(r)).groupBy(at(a, "a0", "a1").alias("bx"), at(b, "b0_", "b1_").alias("by")).agg(F.count("*").alias("n"))
 
 

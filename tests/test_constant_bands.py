@@ -14,3 +14,9 @@ def test_kernel_density_of_one_value(spark):
     assert [(b, x) for b, x, _ in got] == [(i, 50.0) for i in range(4)] and all(math.isnan(d) for *_, d in got)
     with_sigma = stats.kernel_density(one_value(spark), 2, 1.0).collect()
     assert all(abs(r["density"] - (2 * math.pi) ** -0.5) < 1e-12 for r in with_sigma)
+
+
+def test_histogram2d_of_one_value(spark):
+    d = spark.createDataFrame([(50.0, 0.0), (50.0, 7.0), (50.0, 8.0)], "a double, b double")
+    assert {tuple(r) for r in stats.histogram2d(d, "a", "b", 8).collect()} == {(7, 0, 1), (7, 7, 2)}
+    assert {tuple(r) for r in stats.histogram2d(d, "b", "a", 2).collect()} == {(0, 1, 1), (1, 1, 2)}
