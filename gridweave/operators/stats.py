@@ -108,8 +108,13 @@ def perpendicular_regression(df: DataFrame, x: str, y: str) -> DataFrame:
     return r.select(c1.alias("c1"), (F.col("my") - c1 * F.col("mx")).alias("c0"), (F.col("r") * F.col("r")).alias("r2"))
 
 
+def correlation(a: str, b: str) -> Column:
+    """Of rows that have both; NaN where either has one value alone."""
+    return ratio(F.regr_sxy(a, b), F.sqrt(F.regr_sxx(a, b) * F.regr_syy(a, b)))
+
+
 def covariance(df: DataFrame, a: str, b: str) -> DataFrame:
-    return df.agg(F.covar_samp(a, b).alias("cov"), F.corr(a, b).alias("corr"))
+    return df.agg(F.covar_samp(a, b).alias("cov"), correlation(a, b).alias("corr"))
 
 
 def cross_correlation(df: DataFrame, by: str, t: str, a: str, b: str, most: int) -> DataFrame:

@@ -20,3 +20,14 @@ def test_histogram2d_of_one_value(spark):
     d = spark.createDataFrame([(50.0, 0.0), (50.0, 7.0), (50.0, 8.0)], "a double, b double")
     assert {tuple(r) for r in stats.histogram2d(d, "a", "b", 8).collect()} == {(7, 0, 1), (7, 7, 2)}
     assert {tuple(r) for r in stats.histogram2d(d, "b", "a", 2).collect()} == {(0, 1, 1), (1, 1, 2)}
+
+
+def test_covariance_of_one_value(spark):
+    d = spark.createDataFrame([(50.0, 1.0), (50.0, 3.0), (50.0, None)], "a double, b double")
+    for a, b in (("a", "b"), ("b", "a"), ("a", "a")):
+        r = stats.covariance(d, a, b).first()
+        assert r["cov"] == 0 and math.isnan(r["corr"])
+    d = spark.createDataFrame([(1.0, 2.0), (2.0, 1.0), (4.0, 5.0), (9.0, None)], "a double, b double")
+    r = stats.covariance(d, "a", "b").first()
+    assert abs(r["corr"] - 0.838627869) < 1e-8 and abs(r["cov"] - 8 / 3) < 1e-12
+    assert tuple(stats.covariance(d.where("false"), "a", "b").first()) == (None, None)
