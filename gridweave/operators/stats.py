@@ -102,9 +102,9 @@ def regression(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def perpendicular_regression(df: DataFrame, x: str, y: str) -> DataFrame:
-    """c1 = +- var(y) / var(x), by the sign of the correlation; c0 through the means."""
-    r = df.agg(F.avg(x).alias("mx"), F.avg(y).alias("my"), F.var_pop(x).alias("vx"), F.var_pop(y).alias("vy"), F.corr(x, y).alias("r"))
-    c1 = F.signum("r") * F.col("vy") / F.col("vx")
+    """c1 = +- var(y) / var(x), by the sign of the correlation (none: 0); c0 through the means. NaN where x has one value alone."""
+    r = df.agg(F.avg(x).alias("mx"), F.avg(y).alias("my"), F.var_pop(x).alias("vx"), F.var_pop(y).alias("vy"), correlation(x, y).alias("r"))
+    c1 = ratio(F.when(F.isnan("r"), 0.0).otherwise(F.signum("r")) * F.col("vy"), F.col("vx"))
     return r.select(c1.alias("c1"), (F.col("my") - c1 * F.col("mx")).alias("c0"), (F.col("r") * F.col("r")).alias("r2"))
 
 

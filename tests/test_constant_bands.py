@@ -31,3 +31,15 @@ def test_covariance_of_one_value(spark):
     r = stats.covariance(d, "a", "b").first()
     assert abs(r["corr"] - 0.838627869) < 1e-8 and abs(r["cov"] - 8 / 3) < 1e-12
     assert tuple(stats.covariance(d.where("false"), "a", "b").first()) == (None, None)
+
+
+def test_perpendicular_regression_of_one_value(spark):
+    d = spark.createDataFrame([(50.0, 1.0), (50.0, 3.0)], "a double, b double")
+    assert all(math.isnan(v) for v in stats.perpendicular_regression(d, "a", "b").first())
+    assert all(math.isnan(v) for v in stats.perpendicular_regression(d, "a", "a").first())
+    r = stats.perpendicular_regression(d, "b", "a").first()
+    assert (r["c1"], r["c0"]) == (0, 50) and math.isnan(r["r2"])
+    d = spark.createDataFrame([(1.0, 4.0), (2.0, 2.0), (3.0, 0.0)], "a double, b double")
+    r = stats.perpendicular_regression(d, "a", "b").first()
+    assert abs(r["c1"] + 4) < 1e-9 and abs(r["c0"] - 10) < 1e-9 and abs(r["r2"] - 1) < 1e-9
+    assert tuple(stats.perpendicular_regression(d.where("false"), "a", "b").first()) == (None, None, None)
