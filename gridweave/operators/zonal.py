@@ -37,6 +37,11 @@ def crossed(x: Column, y: Column, ring: Column) -> Column:
     return F.exists(edges, enters)
 
 
+def on_grid(cells: DataFrame, grid: DataFrame) -> DataFrame:
+    """Cells with their pixels, by a shuffle: features' cells are many times what the size of the features lets Spark expect, and would be broadcast."""
+    return cells.join(grid.hint("merge"), CELL)
+
+
 def cells_of(zones: DataFrame, height: int, width: int, touched: bool = False) -> DataFrame:
     """fid, y, x: cells whose centre lies in the zone (touched: also those that an edge crosses). x and y of a cell's centre are its indices + 0.5.
     A zone is a closed `ring`, or `rings`: outer rings, holes and islands, of which an odd number holds a point inside."""
@@ -73,7 +78,7 @@ RULES = {
 
 def zonal(cells: DataFrame, grid: DataFrame, rules: list[str], fid: str = "fid", v: str = "v", p: float = 95) -> DataFrame:
     """One row for each feature with a valid pixel: a column for each rule."""
-    got = cells.join(grid, CELL).where(F.col(v).isNotNull())
+    got = on_grid(cells, grid).where(F.col(v).isNotNull())
     return got.groupBy(fid).agg(*[RULES[r](F.col(v), p=p).alias(r) for r in rules])
 
 
