@@ -26,3 +26,9 @@ def test_squares_are_not_broadcast(points, grid):
     out = zonal.zonal(zonal.point_cells(points, 1), grid, ["mean", "count"], "id")
     assert "Broadcast" not in plan(out)
     assert sorted(tuple(r) for r in out.collect()) == [(1, 2.0, 4), (2, 4.0, 9)]
+
+
+def test_discs_are_not_broadcast(points, grid):
+    out = zonal.zonal(zonal.point_cells(points, 2, True), grid, ["max"], "id")
+    assert "Broadcast" not in plan(out)
+    assert sorted(tuple(r) for r in out.collect()) == [(1, 6.0), (2, 8.0)]
