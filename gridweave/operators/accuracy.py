@@ -41,13 +41,14 @@ def identical(a: DataFrame, b: DataFrame, v: str = "v") -> DataFrame:
 
 def validate(points: DataFrame, grid: DataFrame, label: str, boundary: int = 1, homogeneous: bool = False, disc: bool = False) -> DataFrame:
     """id, ref, cls: samples with the class of the pixels around them (boundary cells wide); homogeneous keeps samples whose pixels agree; otherwise the most frequent class, the lowest on ties."""
-    from .zonal import point_cells
+    from .zonal import on_grid, point_cells
 
-    cells = point_cells(points, boundary // 2, disc).join(grid, ["y", "x"])
+    cells = on_grid(point_cells(points, boundary // 2, disc), grid)
     votes = cells.groupBy("id", F.col("v").alias("k")).agg(F.count("*").alias("n"))
     won = votes.groupBy("id").agg(F.max_by("k", F.struct("n", -F.col("k"))).alias("cls"), F.count("*").alias("kinds"))
     won = won.where("kinds = 1") if homogeneous else won
-    return points.select("id", F.col(label).alias("ref")).join(won.select("id", "cls"), "id")
+    # points have no bound, so they are not broadcast either
+    return points.select("id", F.col(label).alias("ref")).join(won.select("id", "cls").hint("merge"), "id")
 
 
 def extract_samples(classes: DataFrame, bands: DataFrame, keep: list | None = None) -> DataFrame:

@@ -32,3 +32,9 @@ def test_discs_are_not_broadcast(points, grid):
     out = zonal.zonal(zonal.point_cells(points, 2, True), grid, ["max"], "id")
     assert "Broadcast" not in plan(out)
     assert sorted(tuple(r) for r in out.collect()) == [(1, 6.0), (2, 8.0)]
+
+
+def test_validation_broadcasts_no_points(points, grid):
+    out = accuracy.validate(points, grid, "label", 3)
+    assert "Broadcast" not in plan(out)
+    assert sorted(tuple(r) for r in out.collect()) == [(1, 4, 0.0), (2, 0, 0.0)]
