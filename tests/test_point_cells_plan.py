@@ -38,3 +38,10 @@ def test_validation_broadcasts_no_points(points, grid):
     out = accuracy.validate(points, grid, "label", 3)
     assert "Broadcast" not in plan(out)
     assert sorted(tuple(r) for r in out.collect()) == [(1, 4, 0.0), (2, 0, 0.0)]
+
+
+def test_homogeneous_validation_broadcasts_no_points(points, grid):
+    even = grid.selectExpr("y", "x", "if(y < 2 and x < 2, 7d, v) v")
+    out = accuracy.validate(points, even, "label", 3, homogeneous=True)
+    assert "Broadcast" not in plan(out)
+    assert [tuple(r) for r in out.collect()] == [(1, 4, 7.0)]
