@@ -1,12 +1,13 @@
 """Spectral and temporal filters along a pixel's bands (ARRAY<DOUBLE>): array expressions in the JVM, no shuffle.
 
-Splines and wavelets, which arrays cannot express, run as Arrow-batched pandas functions.
+Splines and wavelets, which arrays cannot express, run as Arrow-batched pandas functions; linear filling, for which they would take the square of the bands, on Arrow arrays.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -109,16 +110,24 @@ def savgol(bands: str, left: int, right: int, degree: int, derivative: int = 0,
 
 def fill_linear(bands: str) -> Column:
     """NULL bands by linear interpolation between their valid neighbours; the ends repeat the nearest."""
-    a, n = F.col(bands), F.size(F.col(bands))
-    at = F.sequence(F.lit(0), n - 1)
-    known = F.filter(at, lambda i: F.get(a, i).isNotNull())
 
-    def one(i: Column) -> Column:
-        lo, hi = F.array_max(F.filter(known, lambda k: k <= i)), F.array_min(F.filter(known, lambda k: k >= i))
-        vl, vh = F.get(a, lo), F.get(a, hi)
-        return F.when(F.get(a, i).isNotNull(), F.get(a, i)).when(lo.isNull(), vh).when(hi.isNull(), vl).otherwise(vl + (vh - vl) * (i - lo) / (hi - lo))
-
-    return F.transform(at, one)
+    @F.arrow_udf("array<double>")
+    def run(a: pa.Array) -> pa.Array:
+        # one pass over the bands of a batch: places of the last valid band before each, and of the next after it
+        many, flat = a.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), a.flatten().cast(pa.float64())
+        ends = np.cumsum(many, dtype=np.int64)
+        i, end = np.arange(len(flat)), np.repeat(ends, many)
+        start = np.repeat(ends - many, many)
+        valid, v = flat.is_valid().to_numpy(zero_copy_only=False), flat.fill_null(0.0).to_numpy(zero_copy_only=False)
+        lo = np.maximum.accumulate(np.where(valid, i, -1))
+        hi = np.minimum.accumulate(np.where(valid, i, len(flat))[::-1])[::-1]
+        before, after = lo >= start, hi < end
+        lo, hi = np.where(before, lo, np.where(after, hi, i)), np.where(after, hi, np.where(before, lo, i))
+        with np.errstate(invalid="ignore", over="ignore"):
+            out = np.where(lo == hi, v[lo], v[lo] + (v[hi] - v[lo]) * (i - lo) / np.maximum(hi - lo, 1))
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(out, mask=~(before | after)), mask=a.is_null())
+
+    return run(F.col(bands))
 
 
 def spline_values(x: np.ndarray, y: np.ndarray, at: np.ndarray, kind: str) -> np.ndarray:
