@@ -113,7 +113,7 @@ def stack(rasters: list[DataFrame], bands: list[list[str]]) -> DataFrame:
     return out
 
 
-# --- cell codes: digits of the tile's x and y, then a letter for each halving ---------------------------------------
+# --- cell codes: digits of the tile's x and y, then a letter for each halving; positions beyond seven digits have more --
 # A: west and south; B: east; C: north; D: east and north.
 
 
@@ -128,9 +128,16 @@ def cell_resolution(level: int) -> float:
     return size / 2**halvings
 
 
+def tile_digits(x: Column, level: int) -> Column:
+    """Of the tile of a coordinate: as many as the level has, or as it needs."""
+    size, digits, _ = cell_shape(level)
+    tile = F.floor(x / size).cast("string")
+    return F.when(F.length(tile) < digits, F.lpad(tile, digits, "0")).otherwise(tile)
+
+
 def geo_to_cell(x: Column, y: Column, level: int) -> Column:
-    size, digits, halvings = cell_shape(level)
-    parts = [F.lpad(F.floor(x / size).cast("string"), digits, "0"), F.lpad(F.floor(y / size).cast("string"), digits, "0")]
+    size, _, halvings = cell_shape(level)
+    parts = [tile_digits(x, level), tile_digits(y, level)]
     for k in range(halvings):
         half = size / 2**k
         east, north = F.pmod(x, F.lit(half)) >= half / 2, F.pmod(y, F.lit(half)) >= half / 2
