@@ -146,17 +146,19 @@ def geo_to_cell(x: Column, y: Column, level: int) -> Column:
     return F.concat(*parts)
 
 
-def cell_box(code: Column, level: int) -> Column:
-    """ulx, uly, lrx, lry."""
-    size, digits, halvings = cell_shape(level)
-    x, y = F.substring(code, 1, digits).cast("double") * size, F.substring(code, digits + 1, digits).cast("double") * size
+def cell_box(code: Column, level: int, x_digits: Column | None = None) -> Column:
+    """ulx, uly, lrx, lry. A code does not say how many of its digits are of x: half of them (and an odd one), as far as positions have seven digits, else x_digits."""
+    size, _, halvings = cell_shape(level)
+    tile = F.length(code) - (halvings + 1 if halvings else 0)
+    many = F.ceil(tile / 2).cast("int") if x_digits is None else x_digits
+    x, y = F.substring(code, F.lit(1), many).cast("double") * size, F.substring(code, many + 1, tile - many).cast("double") * size
     for k in range(halvings):
-        letter, half = F.substring(code, 2 * digits + 2 + k, 1), size / 2 ** (k + 1)
+        letter, half = F.substring(code, tile + 2 + k, F.lit(1)), size / 2 ** (k + 1)
         x, y = x + F.when(letter.isin("B", "D"), half).otherwise(0.0), y + F.when(letter.isin("C", "D"), half).otherwise(0.0)
     r = cell_resolution(level)
     return F.struct(x.alias("ulx"), (y + r).alias("uly"), (x + r).alias("lrx"), y.alias("lry"))
 
 
-def cell_middle(code: Column, level: int) -> Column:
-    b = cell_box(code, level)
+def cell_middle(code: Column, level: int, x_digits: Column | None = None) -> Column:
+    b = cell_box(code, level, x_digits)
     return F.struct(((b["ulx"] + b["lrx"]) / 2).alias("x"), ((b["uly"] + b["lry"]) / 2).alias("y"))

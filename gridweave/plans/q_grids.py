@@ -83,11 +83,16 @@ def _cells(s, d):
     return X.table(s, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") * 37 + 4300000).cast("double").alias("x"), (F.col("p_size") * 53 + 3200000).cast("double").alias("y"))
 
 
+def _box_and_middle(code, k):
+    box, middle = G.cell_box(code, 8, k), G.cell_middle(code, 8, k)
+    return box["ulx"].alias("ulx"), box["uly"].alias("uly"), middle["x"].alias("mx"), middle["y"].alias("my")
+
+
 query("o150_cell_code", f"SELECT id, CAST(CAST(floor(x / 1000) AS BIGINT) AS VARCHAR) || CAST(CAST(floor(y / 1000) AS BIGINT) AS VARCHAR) || '-' || CASE WHEN x % 1000 >= 500 AND y % 1000 >= 500 THEN 'D' WHEN x % 1000 >= 500 THEN 'B' WHEN y % 1000 >= 500 THEN 'C' ELSE 'A' END AS code FROM ({_CELL})")(
     lambda s, d: _cells(s, d).select("id", G.geo_to_cell(F.col("x"), F.col("y"), 9).alias("code"))
 )
 query("o150_cell_box", f"SELECT id, floor(x / 250) * 250 AS ulx, floor(y / 250) * 250 + 250 AS uly, floor(x / 250) * 250 + 125 AS mx, floor(y / 250) * 250 + 125 AS my FROM ({_CELL})")(
-    lambda s, d: _cells(s, d).withColumn("code", G.geo_to_cell(F.col("x"), F.col("y"), 9 - 1)).select("id", G.cell_box(F.col("code"), 8)["ulx"].alias("ulx"), G.cell_box(F.col("code"), 8)["uly"].alias("uly"), G.cell_middle(F.col("code"), 8)["x"].alias("mx"), G.cell_middle(F.col("code"), 8)["y"].alias("my"))
+    lambda s, d: _cells(s, d).select("id", G.geo_to_cell(F.col("x"), F.col("y"), 8).alias("code"), F.length(G.tile_digits(F.col("x"), 8)).alias("k")).select("id", *_box_and_middle(F.col("code"), F.col("k")))
 )
 
 # --- sources and metadata -----------------------------------------------------------------------------------------
